@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarkash.plans import lexicon
+from tarkash.plans import evidence, lexicon
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(lexicon.QUERIES)
+    return lexicon.QUERIES | evidence.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(lexicon.ORACLE)
+    return lexicon.ORACLE | evidence.ORACLE
