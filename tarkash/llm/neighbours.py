@@ -45,42 +45,41 @@ def nearest(
 def _block(data, asked, size, k, m, threshold, ratio, width, verified, seed):
     ids = data["vec_id"].to_numpy(np.int64)
     points = np.array(data["v"].to_list(), np.float64).reshape(len(data), size)
+    queries = np.array(asked["v"].to_list(), np.float64).reshape(len(asked), size)
     lines = np.random.default_rng(seed).standard_normal((size, m))
-    onto = points @ lines
+    onto, at = points @ lines, queries @ lines
     order = np.argsort(onto, axis=0, kind="stable").T  # the sorted array of each projection
-    lists = np.take_along_axis(onto, order.T, axis=0).T
+    lists = np.ascontiguousarray(np.take_along_axis(onto, order.T, axis=0).T)
+    flat, base = order.ravel(), np.arange(m) * len(ids)
     n, need = len(ids), int(np.ceil(threshold * m))
     most = max(4 * k, int(verified * n))
     spread = float(np.median(np.abs(lists - np.median(lists, axis=1, keepdims=True)))) or 1.0
+    widest = max(np.abs(at).max() + np.abs(lists).max(), spread)
+    rounds = min(64, int(np.ceil(np.log(8 * widest / (width * spread)) / np.log(ratio))) + 1)
+    radii = spread / 8 * ratio ** np.arange(rounds)
+    # every query's window in every array at every radius; the last one holds everything
+    left = np.stack([np.searchsorted(lists[j], at[:, j, None] - width * radii, "left") for j in range(m)], axis=2)
+    right = np.stack([np.searchsorted(lists[j], at[:, j, None] + width * radii, "right") for j in range(m)], axis=2)
+    left[:, -1], right[:, -1] = 0, n
     found = []
-    for query, vector in zip(asked["vec_id"].to_numpy(np.int64), asked["v"], strict=True):
-        vector = np.asarray(vector, np.float64)
-        at = vector @ lines
-        seen = np.zeros(n, np.int32)
-        left = [int(np.searchsorted(lists[j], at[j])) for j in range(m)]
-        right = list(left)
-        checked = np.zeros(n, bool)
-        checked[ids == query] = True
+    for i, (query, vector) in enumerate(zip(asked["vec_id"].to_numpy(np.int64), queries, strict=True)):
+        seen = np.zeros(n, np.int64)
+        checked = ids == query
         own = int(checked.sum())
         near_ids, near_d = np.empty(0, np.int64), np.empty(0)
-        radius = spread / 8
-        while True:
-            for j in range(m):
-                a = int(np.searchsorted(lists[j], at[j] - width * radius, "left"))
-                b = int(np.searchsorted(lists[j], at[j] + width * radius, "right"))
-                a, b = min(a, left[j]), max(b, right[j])
-                seen[order[j, a : left[j]]] += 1
-                seen[order[j, right[j] : b]] += 1
-                left[j], right[j] = a, b
+        a0 = b0 = (left[i, 0] + right[i, 0]) // 2
+        for a, b, radius in zip(left[i], right[i], radii, strict=True):
+            starts, lengths = np.concatenate((a, b0)) + np.concatenate((base, base)), np.concatenate((a0 - a, b - b0))
+            places = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+            seen += np.bincount(flat[places], minlength=n)
+            a0, b0 = a, b
             new = np.flatnonzero((seen >= need) & ~checked)
             if len(new):
                 checked[new] = True
                 gap = points[new] - vector
                 near_ids, near_d = np.concatenate((near_ids, ids[new])), np.concatenate((near_d, np.sqrt((gap * gap).sum(axis=1))))
-            done = int(checked.sum()) - own
-            if done >= n - own or done >= most or (np.count_nonzero(near_d <= radius) >= k):
+            if len(near_ids) >= min(most, n - own) or np.count_nonzero(near_d <= radius) >= k:
                 break
-            radius *= ratio
         best = np.lexsort((near_ids, near_d))[:k]
         found.append((np.full(len(best), query), near_ids[best], near_d[best]))
     return found
