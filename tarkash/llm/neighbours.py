@@ -17,7 +17,7 @@ from tarkash.llm.vectors import search
 
 
 def nearest(
-    vectors: DataFrame, every: int = 100, k: int = 10, projections: int = 48, threshold: float = 0.62, ratio: float = 1.25, width: float = 1.0, verified: float = 0.35, seed: int = 7, block_rows: int = 2048
+    vectors: DataFrame, every: int = 100, k: int = 10, projections: int = 48, threshold: float = 0.56, ratio: float = 1.25, width: float = 1.0, verified: float = 0.35, seed: int = 7, block_rows: int = 2048
 ) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of each query's k nearest found.
 
