@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarkash.plans import evidence, lexicon
+from tarkash.plans import evidence, lexicon, script
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return lexicon.QUERIES | evidence.QUERIES
+    return lexicon.QUERIES | evidence.QUERIES | script.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
