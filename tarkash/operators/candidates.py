@@ -220,17 +220,3 @@ def merge(*generated: DataFrame) -> DataFrame:
     best = F.min(F.struct("tier", order.alias("o"), "source", "key")).alias("best")
     g = rows.groupBy("typed", "native").agg(first, best, F.max("weight").alias("weight"), F.max("closeness").alias("closeness"), F.array_sort(F.collect_set("source")).alias("provenance"))
     return g.select("typed", "native", "best.key", "best.source", "weight", "first.cost", "best.tier", "closeness", "provenance", F.col("first.o").alias("index"))
-
-
-def base_score(merged: DataFrame, known: DataFrame) -> DataFrame:
-    """Adds ``score``: weight, attestation, closeness and frequency, less the cost of the spelling.
-
-    ``known(native, score, unigram, attested, spell_ok)`` as ``validity`` gives it; for emoji only
-    weight, closeness and cost count.
-    """
-    rows = merged.join(known.select("native", F.col("score").alias("__v"), "unigram", "attested", "spell_ok"), "native", "left").na.fill({"__v": 0.0, "unigram": 0, "attested": False, "spell_ok": False})
-    word = F.col("tier") != EMOJI
-    bonus = F.when(word & F.col("attested"), 1.4 * F.col("__v")).otherwise(0.0) + F.when(word & F.col("spell_ok"), 0.35).otherwise(0.0)
-    weight = F.log1p("weight") * F.when(word, 0.35).otherwise(0.55)
-    score = weight + bonus + 0.01 * F.col("closeness") + 0.55 * F.log1p("unigram") - 1.35 * F.col("cost")
-    return rows.select(*merged.columns, score.alias("score"))
