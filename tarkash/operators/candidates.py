@@ -191,6 +191,13 @@ def phonetic(typed: DataFrame, known: DataFrame, most: int = 4) -> DataFrame:
     return _out(rows.select("typed", "native", F.col("typed").alias("key"), F.lit("phonetic").alias("source"), F.lit(0).alias("weight"), F.lit(0).alias("cost"), level.alias("tier")))
 
 
+def modelled(model: DataFrame, known: DataFrame) -> DataFrame:
+    """The words that ``model(typed, native, log_prob)`` scored, weighed by their evidence."""
+    rows = model.select("typed", "native").join(known.select("native", "evidence", "attested"), "native", "left")
+    level = F.when(F.coalesce("attested", F.lit(False)), DICT).otherwise(PHONETIC)
+    return _out(rows.select("typed", "native", F.col("typed").alias("key"), F.lit("neural").alias("source"), F.coalesce("evidence", F.lit(0)).alias("weight"), F.lit(0).alias("cost"), level.alias("tier")))
+
+
 def emoji(typed: DataFrame, menu: DataFrame, by_code: DataFrame, by_native: DataFrame, most: int = 2) -> DataFrame:
     """The surest emoji of the typed word, ``by_code(code, emoji, weight, confidence)``, and of its natives."""
     own = typed.join(by_code.withColumnRenamed("code", "typed"), "typed").select("typed", "emoji", "weight", "confidence")

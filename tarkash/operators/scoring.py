@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarkash.functions.script import canonical, extends, unigram_score, user_boost
+from tarkash.functions.transliterate import phonetic_forms
 from tarkash.operators.candidates import STRONG, is_soft
 from tarkash.operators.menu import DICT, EMOJI, EXACT, PERSONAL
 
@@ -53,12 +54,12 @@ def _points(cases: Sequence[tuple[Column, Column | float]]) -> Column:
     return out.otherwise(0.0)
 
 
-def score(merged: DataFrame, known: DataFrame, lexicon: DataFrame, learnt: DataFrame | None = None, largest: int = 1) -> DataFrame:
+def score(merged: DataFrame, known: DataFrame, lexicon: DataFrame, learnt: DataFrame | None = None, largest: int = 1, model: DataFrame | None = None) -> DataFrame:
     """``merged`` with ``score``, the adjusted ``tier``, ``evidence`` and ``attested``.
 
     ``known`` is ``validity`` of the natives, ``lexicon(roman, native, weight)`` gives the typed
     word's own entry, ``learnt(typed, native, explicit_count, preferred)`` the user's choices, and
-    ``largest`` the largest unigram. A score that is no number becomes -1,000,000.
+    ``largest`` the largest unigram. ``model(typed, native, log_prob)`` adds a model's scores. A score that is no number becomes -1,000,000.
     """
     t, w, key, source, weight = F.col("typed"), F.col("native"), F.col("key"), F.col("source"), F.col("weight")
     rows = merged.join(known.select("native", F.col("score").alias("v"), "evidence", "unigram", "attested", "spell_ok"), "native", "left")
@@ -125,9 +126,48 @@ def score(merged: DataFrame, known: DataFrame, lexicon: DataFrame, learnt: DataF
     level = F.when(F.col("preferred"), PERSONAL).otherwise(level)
     total = F.when(total.isNull() | F.isnan(total) | (F.abs(total) == float("inf")), -1e6).otherwise(total)
     rows = rows.withColumns({"score": total, "tier": level.cast("int")})
+    if model is not None:
+        rows = _arbitrated(rows, model)
     return _siblings(rows).select(*merged.columns, "score", "evidence", "attested")
 
 
+def _arbitrated(rows: DataFrame, model: DataFrame, margin: float = 3.0, gap: float = 1.25) -> DataFrame:
+    """Adds a model's scores, and lets a form of the typed word take an exact entry's place.
+
+    It does so if the model puts it first, ``margin`` over the entry, which is no such form; or if
+    the typed word ends in s, the entry in another sibilant, and the form is within ``gap`` of the
+    best. Log probabilities count relative to the typed word's best.
+    """
+    whole = Window.partitionBy("typed")
+    lead = F.col("log_prob") - F.max("log_prob").over(whole)
+    relative = model.select("typed", "native", lead.alias("rel")).groupBy("typed", "native").agg(F.max("rel").alias("rel"))
+    rows = rows.join(relative, ["typed", "native"], "left").withColumn("direct", F.array_contains(phonetic_forms(F.col("typed")), F.col("native")))
+    boost = 1.5 * F.coalesce("rel", F.lit(0.0)) + F.when(F.col("source") == "neural", 3.0).otherwise(0.0)
+    pick = lambda when, *cols: F.when(when, F.struct(*cols))
+    seen, strict = F.col("rel").isNotNull(), (F.col("tier") == EXACT) & (F.col("source") == "strict")
+    rows = rows.withColumns(
+        {
+            "score": F.col("score") + boost,
+            "exact": F.min(pick(strict, "native", "rel", "direct")).over(whole),
+            "first": F.max(pick(seen, "rel", "native", "direct")).over(whole),
+            "form": F.max(pick(seen & F.col("direct"), "rel", "native")).over(whole),
+        }
+    )
+    sibilant = F.col("typed").endswith("s") & F.col("exact.native").endswith("શ") & F.col("form.native").endswith("સ") & (F.col("form.rel") >= -gap)
+    sure = F.col("first.direct") & ~F.col("exact.direct") & (F.col("first.rel") - F.col("exact.rel") >= margin)
+    winner = F.when(sibilant, F.col("form.native")).when(sure, F.col("first.native"))
+    won = F.when((F.length("typed") >= 2) & (winner != F.col("exact.native")), winner)
+    rows = rows.withColumn("won", won)
+    up, down = F.col("native") == F.col("won"), F.col("won").isNotNull() & (F.col("native") == F.col("exact.native"))
+    return rows.withColumns(
+        {
+            "score": F.col("score") + F.when(up, margin).when(down, -margin).otherwise(0.0),
+            "tier": F.when(up, EXACT).when(down, DICT).otherwise(F.col("tier")),
+            "provenance": F.when(up, F.array_union("provenance", F.array(F.lit("neural_arbitration")))).otherwise(F.col("provenance")),
+        }
+    )
+
+
 def _siblings(rows: DataFrame) -> DataFrame:
     """Soft entries against stems with endings, then exact entries against a lengthened spelling."""
     whole = Window.partitionBy("typed")

@@ -10,7 +10,7 @@ from tarkash.operators import menu, scoring
 ROW = "typed string, native string, key string, source string, weight double, cost double, tier int, closeness int, provenance array<string>, index int"
 
 
-def scored(spark, rows, known=(), lexicon=(), learnt=None):
+def scored(spark, rows, known=(), lexicon=(), learnt=None, key=None):
     """typed, native, key, source, weight, cost, tier of each row; the points of a short native are given back."""
     merged = spark.createDataFrame([(*r, 0, [], i) for i, r in enumerate(rows)], ROW)
     known = spark.createDataFrame(list(known), "native string, score double, evidence long, unigram long, attested boolean, spell_ok boolean")
@@ -18,24 +18,27 @@ def scored(spark, rows, known=(), lexicon=(), learnt=None):
     learnt = learnt and spark.createDataFrame(learnt, "typed string, native string, explicit_count int, preferred boolean")
     short = F.length("native") < 0.7 * F.length("typed")
     out = scoring.score(merged, known, lexicon, learnt)
-    return {r.native: r for r in out.withColumn("score", F.col("score") + F.when(short, 2.0).otherwise(0.0)).collect()}
+    return {(tuple(r[k] for k in key) if key else r.native): r for r in out.withColumn("score", F.col("score") + F.when(short, 2.0).otherwise(0.0)).collect()}
 
 
 def one(spark, typed, native, key=None, source="phonetic", weight=0.0, cost=0.0, tier=2, **tables):
     return scored(spark, [(typed, native, key or typed, source, weight, cost, tier)], **tables)[native]
 
 
-@pytest.mark.parametrize(
-    "typed, native, points",
-    [
-        ("k", "ક", 0.0), ("khe", "ખેય", -4.0), ("n", "ન", 2.5), ("n", "ણ", -0.35), ("de", "ડે", -1.2), ("de", "દે", 0.5), ("she", "શે", 3.0),
-        ("she", "સે", -3.0), ("se", "શે", -0.55), ("se", "સે", 0.15), ("ze", "ઝે", 0.5), ("ze", "જે", -0.35), ("himmt", "હિમ્મત", 5.5),
-        ("himmt", "હિંમત", -6.5), ("unk", "ઉંક", 0.35), ("aav", "આવ", 3.5), ("aav", "અવ", -4.0), ("par", "પર", 0.0), ("paray", "પારય", -3.8 - 1.2 + 0.2),
-        ("ke", "કા", -1.6), ("kaamaa", "કામા", 0.4 + 2.5),
-    ],
-)
-def test_points_of_a_phonetic_form(spark, typed, native, points):
-    assert math.isclose(one(spark, typed, native).score, points - 0.15, abs_tol=1e-9)
+# typed, native and the points of all rules together, the short-native rule aside.
+CASES = [
+    ("k", "ક", 0.0), ("khe", "ખેય", -4.0), ("n", "ન", 2.5), ("n", "ણ", -0.35), ("de", "ડે", -1.2), ("de", "દે", 0.5), ("she", "શે", 3.0),
+    ("she", "સે", -3.0), ("se", "શે", -0.55), ("se", "સે", 0.15), ("ze", "ઝે", 0.5), ("ze", "જે", -0.35), ("himmt", "હિમ્મત", 5.5),
+    ("himmt", "હિંમત", -6.5), ("unk", "ઉંક", 0.35), ("aav", "આવ", 3.5), ("aav", "અવ", -4.0), ("par", "પર", 0.0), ("paray", "પારય", -3.8 - 1.2 + 0.2),
+    ("ke", "કા", -1.6), ("kaamaa", "કામા", 0.4 + 2.5),
+]
+
+
+def test_points_of_phonetic_forms(spark):
+    rows = [(t, n, t, "phonetic", 0.0, 0.0, 2) for t, n, _ in CASES]
+    got = scored(spark, rows, key=("typed", "native"))
+    for typed, native, points in CASES:
+        assert math.isclose(got[typed, native].score, points - 0.15, abs_tol=1e-9), (typed, native)
 
 
 def test_base_score(spark):
@@ -78,6 +81,27 @@ def test_strip_and_lengthening(spark):
     assert [r[1] for r in rows] == [False, False, False, True, False, False, False, False]
 
 
+def arbitrated(spark, rows, model):
+    merged = spark.createDataFrame([(*r, 0, [], i) for i, r in enumerate(rows)], ROW)
+    known = spark.createDataFrame([], "native string, score double, evidence long, unigram long, attested boolean, spell_ok boolean")
+    lexicon = spark.createDataFrame([], "roman string, native string, weight int")
+    model = spark.createDataFrame(model, "typed string, native string, log_prob double")
+    return {r.native: r for r in scoring.score(merged, known, lexicon, model=model).collect()}
+
+
+def test_a_model_takes_the_exact_place(spark):
+    rows = [("ke", "કી", "ke", "strict", 0.0, 0.0, 0), ("ke", "કે", "ke", "neural", 0.0, 0.0, 2)]
+    got = arbitrated(spark, rows, [("ke", "કે", -1.0), ("ke", "કી", -4.0)])
+    assert (got["કે"].tier, got["કી"].tier, got["કે"].provenance) == (0, 1, ["neural_arbitration"])
+    assert math.isclose(got["કે"].score, 3.0 + 3.0) and math.isclose(got["કી"].score, -4.5 - 3.0)
+    near = arbitrated(spark, rows, [("ke", "કે", -1.0), ("ke", "કી", -3.9)])
+    assert (near["કે"].tier, near["કી"].tier) == (2, 0)
+    assert arbitrated(spark, rows, [])["કી"].tier == 0
+    rows = [("kes", "કેશ", "kes", "strict", 0.0, 0.0, 0), ("kes", "કેસ", "kes", "neural", 0.0, 0.0, 2)]
+    assert arbitrated(spark, rows, [("kes", "કેસ", -1.2), ("kes", "કેશ", 0.0)])["કેસ"].tier == 0
+    assert arbitrated(spark, rows, [("kes", "કેસ", -1.3), ("kes", "કેશ", 0.0)])["કેસ"].tier == 2
+
+
 def test_short_natives_lose_two_points(spark):
     row = [("kemekem", "ક", "kemekem", "phonetic", 0.0, 0.0, 2, 0, [], 0), ("ke", "કે", "ke", "phonetic", 0.0, 0.0, 2, 0, [], 1)]
     known = spark.createDataFrame([], "native string, score double, evidence long, unigram long, attested boolean, spell_ok boolean")
