@@ -88,3 +88,9 @@ def test_validity(spark, evidence):
     assert (rows["ઘરમાં"].attested, rows["ઘરમાં"].stem, rows["ઘરમાં"].present) == (True, 950, False)
     assert (rows["મૂલ્ય"].attested, rows["મૂલ્ય"].spell_ok, rows["મૂલ્ય"].stem) == (False, True, 50)
     assert rows["અજ"].score == 0.0 and not rows["અજ"].attested
+
+
+def test_modelled_words(spark, evidence):
+    known = validity(spark.createDataFrame([("ઘર",), ("અજ",)], "native string"), evidence)
+    model = spark.createDataFrame([("ghar", "ઘર", -0.1), ("ghar", "અજ", -2.0), ("ghar", "ઝઝ", -3.0)], "typed string, native string, log_prob double")
+    assert got(c.modelled(model, known), "native", "source", "weight", "tier") == {("ઘર", "neural", 950.0, 1), ("અજ", "neural", 0.0, 2), ("ઝઝ", "neural", 0.0, 2)}
