@@ -13,7 +13,7 @@ under the key keeps every component, with 65 rows a fingerprint whatever the buc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -104,15 +104,16 @@ def simhash_components(docs: DataFrame, width: int = 3, seed: int = 42, heavy: i
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, seed: int = 42, classes: Callable[[DataFrame, int, int], DataFrame] | None = None) -> DataFrame:
     """The documents that are the smallest doc_id of their component, with all columns.
 
-    Documents without a doc_id are kept as they are. Of rows that repeat a kept doc_id the first
+    ``classes`` gives doc_id and component_id of a table for a width and a seed; without it they
+    are those of ``simhash_components``. Documents without a doc_id are kept as they are. Of rows that repeat a kept doc_id the first
     by text, then by the other columns, stays.
     """
     known = docs.where("doc_id is not null")
-    classes = simhash_components(known, width, seed)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    found = (classes or simhash_components)(known, width, seed)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("text", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
     joined = known.join(kept, "doc_id", "left_semi").withColumn("__tk_row", F.row_number().over(first)).where("__tk_row = 1")
     columns = [F.col(f"`{c}`") for c in docs.columns]
