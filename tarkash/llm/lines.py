@@ -27,13 +27,13 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
-def site_lines(docs: DataFrame, text: Column, host: Column, ratio: float = 0.5, least_pages: int = 5) -> DataFrame:
+def site_lines(docs: DataFrame, text: Column, host: Column, ratio: float = 0.5, least_pages: int = 5, least_held: int = 1) -> DataFrame:
     """All columns of ``docs`` and __tk_text (what stays of the text), __tk_lines, __tk_dropped.
 
     A line is a stretch between line feeds without its outer blanks and tabs. For each host, the
     pages that contain a line are divided by the host's pages; a line over ``ratio`` goes wherever
-    it stands on that host, unless the host has under ``least_pages`` pages. Blank lines are no
-    lines: they are not counted and stay. A null text counts as empty, a null host as the empty
+    it stands on that host, unless the host has under ``least_pages`` pages or the line is on under
+    ``least_held`` of them. Blank lines are no lines: they are not counted and stay. A null text counts as empty, a null host as the empty
     host, repeated rows as pages of their own; an empty table gives none.
 
     A host has under (mean lines a page) / ratio such lines, so each host's set is small however
@@ -46,7 +46,7 @@ def site_lines(docs: DataFrame, text: Column, host: Column, ratio: float = 0.5,
     lines = F.filter(F.transform(F.split(F.col(TEXT), "\n", -1), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: x != "")
     held = pages.select(HOST, F.explode(F.array_distinct(F.transform(lines, _key))).alias("key"))
     counts = held.groupBy(HOST, "key").agg(F.count("*").alias("n"))
-    common = counts.join(totals, HOST).where((F.col("pages") >= least_pages) & (F.col("n") > F.col("pages") * F.lit(float(ratio))))
+    common = counts.join(totals, HOST).where((F.col("pages") >= least_pages) & (F.col("n") >= least_held) & (F.col("n") > F.col("pages") * F.lit(float(ratio))))
     common = common.groupBy(HOST).agg(F.collect_set("key").alias("__tk_common"))
     from tarkash.llm.common import cut
 
