@@ -61,14 +61,16 @@ class UrlTrees:
     """Boosted trees on binned features, trained by histogram sums.
 
     ``fit`` takes labelled(url, label) and learns from at most ``sample`` URLs of each label, the
-    first by hash. Each level of a tree is one aggregation over that bounded table: gradient sums
-    by leaf, feature and bin. The trees are kept as thresholds and become one column expression.
+    first by hash, each weighted by its label's URLs over those taken; the prior and the rates of
+    the suffixes are counted on all. Each level of a tree is one aggregation over that bounded
+    table: weighted gradient sums by leaf, feature and bin. The trees are kept as thresholds and become one column expression.
     """
 
     def __init__(self, trees: int = 10, depth: int = 2, rate: float = 0.4, bins: int = 12, sample: int = 10_000, prior: float = 20.0) -> None:
         self.trees, self.depth, self.rate, self.bins, self.sample, self.prior = trees, depth, rate, bins, sample, prior
         self.base, self.model, self.edges = 0.0, [], {}
         self.suffixes: DataFrame | None = None
+        self.few = True
 
     def _features(self, urls: DataFrame) -> DataFrame:
         """``urls`` (with url) and the features as __tk_ columns."""
@@ -76,20 +78,23 @@ class UrlTrees:
         urls = urls.withColumns({f"__tk_{k}": c for k, c in lexical(F.col("url"), F.col("__tk_h")).items()})
         urls = urls.withColumn("__tk_suffix", suffix_of(F.col("__tk_h")))
         side = self.suffixes.withColumnRenamed("suffix", "__tk_suffix").withColumnRenamed("rate", "__tk_known")
-        urls = urls.join(F.broadcast(side), "__tk_suffix", "left")  # at most 2 x sample rows
+        urls = urls.join(F.broadcast(side) if self.few else side, "__tk_suffix", "left")
         return urls.withColumn("__tk_suffix_rate", F.coalesce("__tk_known", F.lit(self.mean))).drop("__tk_h", "__tk_known", "__tk_suffix")
 
     def fit(self, labelled: DataFrame) -> UrlTrees:
         known = labelled.select("url", F.col("label").cast("int").alias("label")).where("url is not null and label in (0, 1)")
-        parts = [known.where(f"label = {y}").orderBy(F.xxhash64("url"), "url").limit(self.sample) for y in (0, 1)]
+        n, bad = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+        held = (n - bad, bad)
+        weights = [max(held[y] / self.sample, 1.0) for y in (0, 1)]
+        parts = [known.where(f"label = {y}").orderBy(F.xxhash64("url"), "url").limit(self.sample).withColumn("__tk_w", F.lit(weights[y])) for y in (0, 1)]
         rows = cut(parts[0].union(parts[1]).coalesce(1))
-        n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
         self.mean = (bad + 0.5) / (n + 1)
         self.base = math.log(self.mean / (1 - self.mean))
         self.model = []
         suffix = suffix_of(host_of(F.col("url"))).alias("suffix")
         rate = (F.sum("label") + self.prior * self.mean) / (F.count("*") + self.prior)
-        self.suffixes = cut(rows.coalesce(1).groupBy(suffix).agg(rate.alias("rate")))
+        self.suffixes = cut(known.groupBy(suffix).agg(rate.alias("rate")))
+        self.few = self.suffixes.count() <= 100_000
         if not n or not 0 < bad < n:
             return self
         table = cut(self._features(rows).coalesce(1))
@@ -112,7 +117,7 @@ class UrlTrees:
             where = F.lit(None).cast("string")
             for name, tests in leaves.items():
                 where = F.when(self._all(tests), F.lit(name)).otherwise(where)
-            rows = table.coalesce(1).select(where.alias("leaf"), (F.col("label") - p).alias("g"), (p * (1 - p)).alias("h"), F.explode("__tk_bins").alias("x"))
+            rows = table.coalesce(1).select(where.alias("leaf"), (F.col("__tk_w") * (F.col("label") - p)).alias("g"), (F.col("__tk_w") * p * (1 - p)).alias("h"), F.explode("__tk_bins").alias("x"))
             sums = rows.groupBy("leaf", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # leaves x features x bins
             grown: dict[str, tuple] = {}
             for name, tests in leaves.items():
