@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+_made: dict[str, SparkSession] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,25 +20,83 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the one all executors share.
+    """A new folder name under the one all executors share, which ``spark.checkpoint.dir`` names.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a temporary folder is made and used.
+    Where that is unset, a local session (tests, one machine) gets a temporary folder of its own;
+    on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="tarkash-"))
         base = "file://" + _own_dir[0]
-    return f"{base.rstrip('/')}/tarkash-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tarkash-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def made() -> list[str]:
+    """The folders this program has made and not yet released."""
+    return list(_made)
+
+
+@atexit.register
+def release(*paths: str) -> None:
+    """Deletes folders made here; at exit, without names, all that are left.
+
+    A frame that reads a folder must not be used afterwards.
+    """
+    for path in paths or made():
+        spark = _made.pop(path, None)
+        with contextlib.suppress(Exception):  # the session may be gone
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The frame as written to the shared folder: later reads need no earlier stage."""
+    return stored(df)[0]
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``cut``, with the folder, so that it can be released once nothing reads it."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of the frame has it; case does not count."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that an operator's own names cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.lit(None)
+
+
+def unpacked_row(df: DataFrame, row: str) -> list[Column]:
+    """The columns that ``packed_row`` put away."""
+    return [F.col(f"`{row}`.`{c}`").alias(c) for c in df.columns]
+
+
+def with_side(rows: DataFrame, side: DataFrame, keys: list[str], small: bool, spread: Column, how: str = "inner", salt: int = 32) -> DataFrame:
+    """``rows`` joined with a side of one row a key: broadcast if it is small, else by key and salt.
+
+    The salt (``spread``, an expression of the rows) deals a key that holds a large share of the
+    rows to ``salt`` tasks; the side is repeated for each.
+    """
+    if small:
+        return rows.join(F.broadcast(side), keys, how)
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salt)).cast("int"))
+    side = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return rows.join(side, [*keys, "__salt"], how).drop("__salt")
 
 
 def text_of(name: str = "text") -> Column:
@@ -69,10 +130,10 @@ def put(uri: str, name: str, data: bytes) -> None:
 
 
 def mapped(uri: str, name: str):
-    """A read-only memory map of a file in the store.
+    """A file of the store as a read-only memory map, None if there is none.
 
-    A local or mounted store is mapped in place. From any other store the file is copied to an
-    unlinked temporary file first, so nothing is left behind when the worker ends.
+    A local or mounted store is mapped in place. From any other store the file is read into
+    memory: nothing is copied to a machine's own disk.
     """
     import mmap
 
@@ -80,12 +141,11 @@ def mapped(uri: str, name: str):
 
     store, base = filesystem(uri)
     if isinstance(store, fs.LocalFileSystem):
-        handle = open(f"{base}/{name}", "rb")  # noqa: SIM115
-    else:
-        handle = tempfile.TemporaryFile()  # noqa: SIM115
-        with store.open_input_stream(f"{base}/{name}") as src:
-            while block := src.read(1 << 22):
-                handle.write(block)
-        handle.flush()
-    with handle:
-        return mmap.mmap(handle.fileno(), os.fstat(handle.fileno()).st_size, access=mmap.ACCESS_READ)
+        if not os.path.exists(f"{base}/{name}"):
+            return None
+        with open(f"{base}/{name}", "rb") as handle:
+            return mmap.mmap(handle.fileno(), os.fstat(handle.fileno()).st_size, access=mmap.ACCESS_READ)
+    if store.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
+        return None
+    with store.open_input_stream(f"{base}/{name}") as src:
+        return src.read()
