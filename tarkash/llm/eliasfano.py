@@ -1,7 +1,7 @@
 """Elias-Fano coded monotone sequences, read in place from a memory map.
 
-``low`` bits of each value are packed; the high parts are unary in a bit vector, with the zeros
-before every 64-bit word as directory. All reads take arrays of places or values at once.
+``low`` bits of each value are packed; the high parts are unary in a bit vector with a small
+directory. All reads take arrays of places or values at once.
 """
 
 from __future__ import annotations
@@ -22,12 +22,47 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+STEP = 64  # every so many zeros and ones the directory names their word
+LOW = np.uint64(0x0101010101010101)
+HIGH = np.uint64(0x8080808080808080)
+
+
+def _in_byte() -> np.ndarray:
+    """table[byte * 8 + r]: the place of the byte's one number r, 0 where it has fewer."""
+    table = np.zeros(256 * 8, np.int64)
+    for byte in range(256):
+        for r, place in enumerate(i for i in range(8) if byte >> i & 1):
+            table[byte * 8 + r] = place
+    return table
+
+
+IN_BYTE = _in_byte()
+
+
+def _select(bits: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of one number ``rank`` (from 0) in each 64-bit word, which holds it."""
+    two = np.uint64(2)
+    sums = bits - ((bits >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    sums = (sums & np.uint64(0x3333333333333333)) + ((sums >> two) & np.uint64(0x3333333333333333))
+    sums = ((sums + (sums >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * LOW  # ones up to each byte's end
+    rank = rank.astype(np.uint64)
+    byte = np.bitwise_count(((rank * LOW | HIGH) - sums) & HIGH).astype(np.uint64) << np.uint64(3)
+    before = ((sums << np.uint64(8)) >> byte) & np.uint64(0xFF)
+    at = ((bits >> byte) & np.uint64(0xFF)) << np.uint64(3)
+    return byte.astype(np.int64) + IN_BYTE[(at + rank - before).astype(np.int64)]
+
+
 class EliasFano:
-    """A sequence of n unsigned integers that never falls, each under 2**63."""
+    """A sequence of n unsigned integers that never falls, each under 2**63.
+
+    The directory holds the zeros before each 64-bit word, and the word of every 64th zero and
+    one, so a select starts at most a few words before its word.
+    """
 
-    def __init__(self, n: int, low: int, lows: np.ndarray, words: np.ndarray, zeros: np.ndarray) -> None:
-        self.n, self.low, self.lows, self.words, self.zeros = n, low, lows, words, zeros
-        self.ones: np.ndarray | None = None
+    PARTS = ("lows", "words", "zeros", "zero_at", "one_at")
+
+    def __init__(self, n: int, low: int, lows: np.ndarray, words: np.ndarray, zeros: np.ndarray, zero_at: np.ndarray, one_at: np.ndarray) -> None:
+        self.n, self.low, self.lows, self.words, self.zeros, self.zero_at, self.one_at = n, low, lows, words, zeros, zero_at, one_at
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -41,12 +76,15 @@ class EliasFano:
         bits = np.zeros(-(-size // 64) * 64, np.uint8)
         bits[high + np.arange(n)] = 1
         words = np.packbits(bits, bitorder="little").view("<u8")
-        filled = np.bitwise_count(words).astype(np.int64)
-        zeros = np.concatenate(([0], np.cumsum(64 - filled)))
-        return cls(n, low, lows, words, zeros.astype("<u4" if zeros[-1] < 2**32 else "<u8"))
+        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(words).astype(np.int64))))
+        zeros = np.arange(len(ones)) * 64 - ones
+        kind = "<u4" if zeros[-1] < 2**32 else "<u8"
+        zero_at = np.searchsorted(zeros, np.arange(0, zeros[-1], STEP), "right") - 1
+        one_at = np.searchsorted(ones, np.arange(0, max(n, 1), STEP), "right") - 1
+        return cls(n, low, lows, words, zeros.astype(kind), np.minimum(zero_at, len(words) - 1).astype(kind), np.minimum(one_at, len(words) - 1).astype(kind))
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"lows": self.lows, "words": self.words, "zeros": self.zeros}
+        return {k: getattr(self, k) for k in self.PARTS}
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -55,53 +93,58 @@ class EliasFano:
         span = np.lib.stride_tricks.as_strided(self.lows.view("<u8"), (len(self.lows) - 7,), (1,))
         return (span[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)
 
+    def _word(self, hint: np.ndarray, k: np.ndarray, ones: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The word that holds zero or one number k, and how many of them stand before it."""
+        last = len(self.words) - 1
+        word = hint[np.minimum(k // STEP, len(hint) - 1)].astype(np.int64)
+        held = lambda w: w * 64 - self.zeros[w] if ones else self.zeros[w].astype(np.int64)
+        late = np.flatnonzero((word < last) & (held(np.minimum(word + 1, last)) <= k))
+        for _ in range(8):
+            if not len(late):
+                break
+            word[late] += 1
+            w = word[late]
+            late = late[(w < last) & (held(np.minimum(w + 1, last)) <= k[late])]
+        if len(late):  # a long run of the other bit: search the whole directory
+            whole = np.arange(len(self.zeros)) * 64 - self.zeros if ones else self.zeros
+            word[late] = np.minimum(np.searchsorted(whole, k[late].astype(whole.dtype), "right").astype(np.int64) - 1, last)
+        return word, held(word)
+
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """The place of zero number k (from 0) in the bit vector; past the last zero, its end."""
-        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right").astype(np.int64) - 1
-        word = np.minimum(word, len(self.words) - 1)
-        rest = k - self.zeros[word].astype(np.int64)
-        bits, at = ~self.words[word], np.zeros(len(k), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(bits & np.uint64((1 << step) - 1)).astype(np.int64)
-            up = rest >= count
-            rest -= np.where(up, count, 0)
-            at += np.where(up, step, 0)
-            bits = np.where(up, bits >> np.uint64(step), bits)
-        return word * 64 + at
+        word, before = self._word(self.zero_at, k, False)
+        return word * 64 + _select(~self.words[word], k - before)
 
     def _one(self, k: np.ndarray) -> np.ndarray:
-        if self.ones is None:
-            self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
-        ones = self.ones
-        word = np.minimum(np.searchsorted(ones, k, "right") - 1, len(self.words) - 1)
-        rest, bits, at = k - ones[word], self.words[word].copy(), np.zeros(len(k), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(bits & np.uint64((1 << step) - 1)).astype(np.int64)
-            up = rest >= count
-            rest -= np.where(up, count, 0)
-            at += np.where(up, step, 0)
-            bits = np.where(up, bits >> np.uint64(step), bits)
-        return word * 64 + at
+        word, before = self._word(self.one_at, k, True)
+        return word * 64 + _select(self.words[word], k - before)
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The values at places."""
         at = np.asarray(at, np.int64)
         return ((self._one(at) - at).astype(np.uint64) << np.uint64(self.low)) | self._low(at)
 
+    def _bucket(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places [a, b) of the elements that share each value's high part."""
+        top = len(self.words) * 64 - self.n - 1
+        high = np.minimum((values >> np.uint64(self.low)).astype(np.int64), top)
+        a = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) - high + 1, 0)
+        return np.minimum(a, self.n), np.minimum(self._zero(high) - high, self.n)
+
     def successor(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
         """The first place in [first, last) whose value is not smaller; ``last`` (or n) if there is none."""
+        return self._search(values, first, last)[0]
+
+    def _search(self, values: np.ndarray, first: np.ndarray | None, last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The successors' places, and the ends of the stretches in which values share the high part."""
         values = np.asarray(values, np.uint64)
         if not self.n:
-            return np.zeros(len(values), np.int64)
-        high = (values >> np.uint64(self.low)).astype(np.int64)
-        top = len(self.words) * 64 - self.n - 1
-        high = np.minimum(high, top)
-        a = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) - high + 1, 0)
-        b = self._zero(high) - high
-        a, b = np.minimum(a, self.n), np.minimum(b, self.n)
+            return np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
+        a, b = self._bucket(values)
         if first is not None:
             a, b = np.maximum(a, first), np.minimum(np.maximum(b, first), last)
             a = np.minimum(a, last)
+        end = b.copy()
         want = values & np.uint64((1 << self.low) - 1)
         open_ = np.flatnonzero(a < b)
         while len(open_):
@@ -110,16 +153,16 @@ class EliasFano:
             a[open_] = np.where(less, middle + 1, a[open_])
             b[open_] = np.where(less, b[open_], middle)
             open_ = open_[a[open_] < b[open_]]
-        return a
+        return a, end
 
     def find(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
         """The place of each value in [first, last), else -1."""
         values = np.asarray(values, np.uint64)
-        at = self.successor(values, first, last)
-        end = np.full(len(at), self.n) if last is None else last
-        inside = np.flatnonzero(at < end)
+        at, end = self._search(values, first, last)
         out = np.full(len(at), -1, np.int64)
-        hit = inside[self.access(at[inside]) == values[inside]]
+        top = np.uint64(len(self.words) * 64 - self.n - 1)
+        inside = np.flatnonzero((at < end) & ((values >> np.uint64(self.low)) <= top))
+        hit = inside[self._low(at[inside]) == (values[inside] & np.uint64((1 << self.low) - 1))]
         out[hit] = at[hit]
         return out
 
