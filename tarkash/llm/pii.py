@@ -15,6 +15,7 @@ rows; only these counts reach the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,31 +34,54 @@ BASE = {
 }
 CANDIDATE = (
     r"(?i)(?:\G|(?<![a-z0-9._%+@-]))(?:"
-    r"(?:mr|mrs|ms|dr|prof|herr|frau|mme|sr|sra)\.?\x20[A-ZÀ-Þ][a-zß-ÿ]{1,30}+"
-    r"|[a-z0-9._%+-]{1,64}+(?:@|\x20?[(\[]at[)\]]\x20?)[a-z0-9-]{1,63}+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[a-z0-9-]{1,63}+){1,5}+"
-    r"|(?:password|passwd|pwd|token|secret|ssn|iban)\x20?[=:]\x20?\"?[A-Za-z0-9]{6,64}+"
-    r"|\+?[0-9](?:[\x20()./-]{0,2}[0-9]){5,23}+)"
+    r"(?:mr|mrs|ms|dr|prof|herr|frau|mme|sr|sra)\.?\x20[A-ZÀ-Þ][a-zß-ÿ]++"
+    r"|[a-z0-9._%+-]++(?:@|\x20?[(\[]at[)\]]\x20?)[a-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[a-z0-9-]++)++"
+    r"|(?:password|passwd|pwd|token|secret|ssn|iban)\x20?[=:]\x20?\"?[A-Za-z0-9]{6,}+"
+    r"|\+?\(?[0-9](?:[\x20()./-]{0,2}[0-9]){5,}+)"
 )
-MAYBE = r"(?i)[0-9]|@|[(\[]at[)\]]|\b(?:mr|mrs|ms|dr|prof|herr|frau|mme|sr|sra)\b|password|passwd|pwd|token|secret"
+MAYBE = r"(?i)[0-9]|@|[(\[]at[)\]]|\b(?:mr|mrs|ms|dr|prof|herr|frau|mme|sr|sra)\b|password|passwd|pwd|token|secret|ssn|iban"
+BLOCK = 128  # spans whose offsets are summed at a time
+MARKS = 1024  # code points of a piece of a text's mask
 TITLES = ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "mme", "sr", "sra")
 CONTACT = ("mail", "e-mail", "email", "phone", "tel", "telephone", "call", "contact", "fax", "mobile", "card", "account", "address", "name", "ip", "kontakt", "telefon", "anruf", "correo", "adresse", "password", "token", "secret", "ssn", "iban")
 PLAIN = ("page", "version", "isbn", "order", "item", "figure", "chapter", "section", "number", "no", "id", "price", "year", "seite", "nummer", "numero", "version", "table")
 LABELERS = ("base", "shape", "title", "context", "digits")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<s,e,hit>> of the leftmost matches that do not overlap, in code points."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<s:int,e:int,hit:string>>")
+    """array<struct<s,e,hit,before>> of the leftmost matches that do not overlap, in code points.
+
+    ``before`` is the text since the match before, that match included. Offsets are summed in
+    blocks, so that the work grows with the matches and not with their square.
+    """
+    empty = F.array().cast("array<struct<s:int,e:int,hit:string,before:string>>")
+    hits, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["p"])
         e = s + F.length(x["h"])
-        return F.struct(e.alias("at"), F.array_append(acc["found"], F.struct(s.alias("s"), e.alias("e"), x["h"].alias("hit"))).alias("found"))
+        one = F.struct(s.alias("s"), e.alias("e"), x["h"].alias("hit"), F.concat(x["last"], x["p"]).alias("before"))
+        return F.struct(e.alias("at"), F.array_append(acc["found"], one).alias("found"))
+
+    def blocks(found: Column) -> Column:
+        h = found["h"]
+        last = F.concat(F.array(F.lit("")), h)
+        pairs = F.zip_with(F.zip_with(F.slice(found["p"], F.lit(1), F.size(h)), h, lambda p, x: F.struct(p.alias("p"), x.alias("h"))), F.slice(last, F.lit(1), F.size(h)), lambda x, y: F.struct(x["p"].alias("p"), x["h"].alias("h"), y.alias("last")))
+        start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+        return _let(pairs, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda i: F.aggregate(F.slice(x, i * BLOCK + 1, F.lit(BLOCK)), start, step)))
 
-    pairs = F.zip_with(F.slice(parts, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step)["found"]
+    def shifted(x: Column) -> Column:
+        add = lambda acc, y: F.struct((acc["at"] + y["at"]).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
+        starts = F.aggregate(x, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), add)["starts"]
+        move = lambda y, at: F.transform(y["found"], lambda z: F.struct((z["s"] + at).alias("s"), (z["e"] + at).alias("e"), z["hit"].alias("hit"), z["before"].alias("before")))
+        return F.flatten(F.zip_with(x, starts, move))
+
+    return _let(F.struct(hits.alias("h"), parts.alias("p")), lambda f: F.when(F.size(f["h"]) == 0, empty).otherwise(_let(blocks(f), shifted)))
 
 
 def _digits(x: Column) -> Column:
@@ -101,21 +125,33 @@ def base_spans(text: Column) -> dict[str, Column]:
     for kind, sign in zip(KINDS, ("@", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){15}", r"\+[0-9]"), strict=True):
         maybe = F.contains(text, F.lit(sign)) if kind == "email" else F.regexp_like(text, F.lit(sign))
         found = F.filter(_spans(text, BASE[kind]), _holder(kind))
-        out[kind] = F.when(maybe, found).otherwise(F.array().cast("array<struct<s:int,e:int,hit:string>>"))
+        bare = F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+        out[kind] = F.when(maybe, bare).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
     return out
 
 
-def _overlaps(x: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
+def _marks(spans: Column, size: Column) -> Column:
+    """Pieces of MARKS characters of a mask of the text: 1 within a span, 0 elsewhere; none without spans."""
+    gap = lambda x, i: x["s"] - F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["e"])
+    runs = F.transform(spans, lambda x, i: F.concat(F.repeat(F.lit("0"), gap(x, i)), F.repeat(F.lit("1"), x["e"] - x["s"])))
+    mask = F.concat(F.array_join(runs, ""), F.repeat(F.lit("0"), size - F.element_at(spans, -1)["e"]))
+    return F.when(F.size(spans) > 0, F.regexp_extract_all(mask, F.lit(f".{{1,{MARKS}}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
 
+def _overlaps(x: Column, marks: Column) -> Column:
+    """Whether a span touches a marked character: only the pieces it lies in are read."""
+    first, last = F.floor(x["s"] / MARKS).cast("int"), F.floor((x["e"] - 1) / MARKS).cast("int")
+    held = F.array_join(F.slice(marks, first + 1, last - first + 1), "")
+    return (F.size(marks) > 0) & F.contains(F.substring(held, x["s"] - first * MARKS + 1, x["e"] - x["s"]), F.lit("1"))
 
-def _candidates(text: Column, base: Column) -> Column:
+
+def _candidates(text: Column, marks: Sequence[Column]) -> Column:
     """array<struct<s,e,kind,votes,features>>: votes are 1, 0 or -1 (no opinion), one a labeler."""
 
     def judged(x: Column) -> Column:
         hit, digits = F.lower(x["hit"]), _digits(x["hit"])
         n, size = F.length(digits), F.length(x["hit"])
-        before = F.regexp_extract_all(F.lower(F.substring(text, F.greatest(x["s"] - 39, F.lit(1)), F.least(x["s"], F.lit(40)))), F.lit("[a-z-]+"), F.lit(0))
+        before = F.regexp_extract_all(F.lower(F.right(x["before"], F.lit(40))), F.lit("[a-z-]+"), F.lit(0))
         near = F.slice(before, F.greatest(F.size(before) - 2, F.lit(1)), F.lit(3))
         near = F.when(F.size(before) > 0, near).otherwise(F.array().cast("array<string>"))
         first = F.regexp_extract(hit, "^[a-z]+", 0)
@@ -128,7 +164,7 @@ def _candidates(text: Column, base: Column) -> Column:
         date = F.regexp_like(hit, F.lit(r"^(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2})$"))
         numeric = ~mail & ~secret & ~title
         votes = [
-            F.when(_overlaps(x, base), yes).otherwise(none),
+            F.when(touches(x), yes).otherwise(none),
             F.when(mail | secret, yes).when(date, no).when(numeric & separated & n.between(9, 19), yes).when(numeric & (n < 8), no).otherwise(none),
             F.when(title, yes).otherwise(none),
             F.when(words(CONTACT) | secret, yes).when(words(PLAIN), no).otherwise(none),
@@ -146,8 +182,14 @@ def _candidates(text: Column, base: Column) -> Column:
         ]
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), kind.alias("kind"), F.array(*votes).alias("votes"), F.array(*features).alias("features"))
 
-    found = F.transform(_spans(text, CANDIDATE), judged)
-    return F.when(F.regexp_like(text, F.lit(MAYBE)), found).otherwise(F.filter(found, lambda x: F.lit(False)))
+    def touches(x: Column) -> Column:
+        out = F.lit(False)
+        for m in marks:
+            out = out | _overlaps(x, m)
+        return out
+
+    none = "array<struct<s:int,e:int,kind:string,votes:array<int>,features:array<string>>>"
+    return F.when(F.regexp_like(text, F.lit(MAYBE)), F.transform(_spans(text, CANDIDATE), judged)).otherwise(F.array().cast(none))
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 30, prior: float = 0.5) -> tuple[dict, dict]:
@@ -193,7 +235,8 @@ def personal_data(docs: DataFrame, threshold: float = 0.8, rounds: int = 30) ->
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *[c.alias(k) for k, c in base_spans(text).items()])
     rows = rows.withColumn("base", F.concat(*[F.transform(k, _named(k)) for k in KINDS]))
-    found = cut(rows.select("doc_id", "base", _candidates(text, F.col("base")).alias("found")))
+    rows = rows.withColumns({f"{k}_marks": _marks(F.col(k), F.length(text)) for k in KINDS})
+    found = cut(rows.select("doc_id", "base", _candidates(text, [F.col(f"{k}_marks") for k in KINDS]).alias("found")))
     each = found.select(F.explode("found").alias("x"))
     patterns = [(tuple(r.votes), r.n) for r in each.groupBy(F.col("x.votes").alias("votes")).agg(F.count("*").alias("n")).collect()]  # 3^5 at most
     posterior, _ = estimate(sorted(patterns), rounds)
@@ -209,7 +252,7 @@ def personal_data(docs: DataFrame, threshold: float = 0.8, rounds: int = 30) ->
 
     def added(x: Column) -> Column:
         margin = F.aggregate(x["features"], F.lit(start), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
-        return (margin > math.log(threshold / (1 - threshold))) & ~_overlaps(x, F.col("base"))
+        return (margin > math.log(threshold / (1 - threshold))) & (x["votes"][0] != 1)  # touches no base span
 
     extra = F.transform(F.filter("found", added), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     place = F.create_map(*[y for i, k in enumerate((*KINDS, "name", "number", "secret")) for y in (F.lit(k), F.lit(i))])
