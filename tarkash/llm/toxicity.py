@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become tags (insult, threat, target, negation, reported speech, other). Five small
-transducers read a clause's tags; each keeps its own state and adds a weight: an insult counts, a
-threat counts more once a target follows, a target near an insult adds, a negation shortly before
-takes off, reported speech earlier in the clause takes off. Their composition is one transducer
-whose states are tuples and whose weights add up, and a clause's score is the weight of its path.
+transducers read a clause's tags; each keeps its own state and adds a weight: an insult counts as
+much as its word weighs, a threat counts more once a target follows, a target near an insult adds,
+a negation shortly before takes off, reported speech earlier in the clause takes off. Their
+composition is one transducer whose states are tuples and whose weights add up, and a clause's score
+is the weight of its path. A weight is a pair: what counts times the word's own weight, which only
+the insult transducer uses, and what counts as it is.
 A document's score is a logistic function of its best clause and of how many clauses match.
 
 The seed lexicon is extended by words and word beginnings that mark labelled toxic training
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarkash.llm.common import cut, remainder
+from tarkash.llm.common import cut, free_name, remainder
 
 INSULT, THREAT, TARGET, NEGATION, REPORTED, OTHER = range(6)
 SEEDS = {
@@ -33,33 +35,47 @@ SEEDS = {
     NEGATION: "not never no isn't aren't wasn't don't nicht kein nie nunca jamás jamais",
     REPORTED: "said says wrote called quoted claims reported sagte schrieb dijo dit écrit",
 }
+SCORE, TOXIC = "__tk_score", "__tk_toxic"
 CLAUSE = re.compile(r"[.!?;:\n]+")
 STRIP = ".,!?;:\"'()[]{}<>*%&$#«»¿¡…-_|"
 
 
+Weight = tuple[float, float]
+NOTHING: Weight = (0.0, 0.0)
+
+
 class Transducer:
-    """States 0..n-1 from 0; ``arcs[state][tag]`` is (next state, weight)."""
+    """States 0..n-1 from 0; ``arcs[state][tag]`` is (next state, weight by the word, fixed weight)."""
 
-    def __init__(self, states: int, arcs: dict[tuple[int, int], tuple[int, float]], fall: dict[int, int] | None = None) -> None:
-        fall = fall or {}
-        self.arcs = [[arcs.get((s, t), (fall.get(s, s), 0.0)) for t in range(6)] for s in range(states)]
+    def __init__(self, states: int, arcs: dict[tuple[int, int], tuple[int, float | Weight]]) -> None:
+        self.arcs = [[(s, *NOTHING) for _ in range(6)] for s in range(states)]
+        for (s, t), (to, weight) in arcs.items():
+            self.arcs[s][t] = (to, *(weight if isinstance(weight, tuple) else (0.0, weight)))
 
     def compose(self, other: Transducer) -> Transducer:
         """The transducer that runs both and adds their weights; only reachable states are made."""
         number, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
         for a, b in todo:
             for t in range(6):
-                (x, v), (y, w) = self.arcs[a][t], other.arcs[b][t]
+                (x, v, p), (y, w, q) = self.arcs[a][t], other.arcs[b][t]
                 if (x, y) not in number:
                     number[x, y] = len(number)
                     todo.append((x, y))
-                arcs[number[a, b], t] = (number[x, y], v + w)
+                arcs[number[a, b], t] = (number[x, y], (v + w, p + q))
         return Transducer(len(number), arcs)
 
+    def weigh(self, tags: list[tuple[int, float]]) -> float:
+        """The weight of the path of (tag, the word's own weight)."""
+        state, total, arcs = 0, 0.0, self.arcs
+        for tag, own in tags:
+            state, by_word, fixed = arcs[state][tag]
+            total += by_word * own + fixed
+        return total
+
 
 def grammar(window: int = 3, threat: float = 2.0, target: float = 0.5, negation: float = 1.5, reported: float = 1.0) -> Transducer:
     """Insult, threat, target, negation and reported speech, composed."""
-    insult = Transducer(1, {(0, INSULT): (0, 1.0)})
+    insult = Transducer(1, {(0, INSULT): (0, (1.0, 0.0))})
     threats = Transducer(2, {(0, THREAT): (1, 0.5), (1, TARGET): (0, threat - 0.5), (1, THREAT): (1, 0.5)})
     near = {(0, INSULT): (window, 0.0), (0, TARGET): (2 * window, 0.0)}
     for k in range(1, window + 1):
@@ -112,11 +128,7 @@ class Scorer:
         for clause in CLAUSE.split(text):
             tags = [tag(w) for w in clause.split()]
             if any(t <= THREAT for t, _ in tags):
-                state, total, arcs = 0, 0.0, self.grammar.arcs
-                for t, lexical in tags:
-                    state, w = arcs[state][t]
-                    total += w * lexical if t == INSULT else w
-                out.append(max(0.0, total))
+                out.append(max(0.0, self.grammar.weigh(tags)))
         return out
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -144,9 +156,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
 def fit(rows: DataFrame, least: int = 5, odds: float = 2.5) -> Scorer:
     """The lexicon and the logistic function from (text, toxic) rows of bounded number; copies count once.
 
-    A word or word beginning (4 to 7 letters) joins if it stands in ``least`` toxic documents and
+    A word or word beginning (5 to 7 letters) joins if it stands in ``least`` toxic documents and
     its smoothed log odds reach ``odds`` over the share of toxic documents; a beginning whose
-    shorter form joined is left out.
+    shorter form joined is left out. Both are bounded by the sample's texts; none is cut off.
     """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +168,9 @@ def fit(rows: DataFrame, least: int = 5, odds: float = 2.5) -> Scorer:
                 seen = set()
                 for word in set(text.lower().split()):
                     bare = word.strip(STRIP)
-                    if 2 <= len(bare) <= 40:
+                    if len(bare) >= 2:
                         seen.add(bare)
-                        seen.update(bare[:n] + "\0" for n in range(4, 8) if len(bare) > n)
+                        seen.update(bare[:n] + "\0" for n in range(5, 8) if len(bare) > n)
                 counts.update((w, toxic) for w in seen)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["w", "toxic", "n"])
 
@@ -169,9 +181,9 @@ def fit(rows: DataFrame, least: int = 5, odds: float = 2.5) -> Scorer:
         return Scorer({}, {})
     counts = rows.mapInArrow(tokens, "w string, toxic int, n long").groupBy("w").agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("bad"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("good"))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    found = {r.w: r.x for r in counts.where(F.col("bad") >= least).withColumn("x", weight).where(F.col("x") >= odds).orderBy(F.desc("x"), "w").limit(5000).collect()}
+    found = {r.w: r.x for r in counts.where(F.col("bad") >= least).withColumn("x", weight).where(F.col("x") >= odds).collect()}
     starts = {w[:-1]: x for w, x in found.items() if w.endswith("\0")}
-    starts = {w: x for w, x in starts.items() if not any(w[:n] in starts for n in range(4, len(w)))}
+    starts = {w: x for w, x in starts.items() if not any(w[:n] in starts for n in range(5, len(w)))}
     words = {w: x for w, x in found.items() if not w.endswith("\0")}
     scale = lambda x: min(2.0, x / 4)
     scorer = Scorer({w: scale(x) for w, x in words.items()}, {w: scale(x) for w, x in starts.items()})
@@ -206,7 +218,8 @@ def toxicity(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFra
     """All columns of ``docs`` and __tk_score, __tk_toxic (1 if the score reaches ``threshold``).
 
     A null or empty text has no clauses and gets the model's lowest score. Repeated rows stay, an
-    empty table gives none. The lexicon goes with the task; its size has a bound (5,000 entries).
+    empty table gives none. A column of ``docs`` with a result's name stays, and the result's name
+    gets underscores. The lexicon goes with the task; the sample it was learned from bounds it.
     """
     from pyspark.sql.pandas.functions import arrow_udf
 
@@ -214,8 +227,9 @@ def toxicity(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFra
     def score(texts: pa.Array) -> pa.Array:
         return pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
 
-    out = docs.withColumn("__tk_score", score(F.col("text").cast("string")))
-    return out.withColumn("__tk_toxic", (F.col("__tk_score") >= threshold).cast("int"))
+    found, toxic = free_name(docs, SCORE), free_name(docs, TOXIC)
+    out = docs.withColumn(found, score(F.col("text").cast("string")))
+    return out.withColumn(toxic, (F.col(found) >= threshold).cast("int"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Scorer:
