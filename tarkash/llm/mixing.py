@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = ("__tk_domain", "__tk_lang", "__tk_source")
-BUCKETS = 4096
+FEW_LEAVES = 100_000  # that are broadcast
+STEP, SHORT = 3, 4096  # hex digits a narrowing step, and rows of a leaf that one task may put in order
 
 
 def n_words(text: Column) -> Column:
@@ -62,45 +63,72 @@ def budgets(leaves: DataFrame, weights: dict[tuple, int], share: float, max_epoc
     return _share(leaves.join(middle, list(LEVELS[:2])), list(LEVELS[:2]), 2, weights).drop("budget", "cap")
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[tuple, int], share: float = 0.5, max_epochs: int = 3, seed: int = 17) -> DataFrame:
+def _ends(stretches: DataFrame, extra: list[str]) -> DataFrame:
+    """For each leaf, the first stretch of the order in which its rest ends, and the tokens before it."""
+    upto = Window.partitionBy(*LEVELS).orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)
+    ends = stretches.withColumn("upto", F.sum("t").over(upto) + F.col("before")).where(F.col("upto") > F.col("__tk_rest"))
+    first = F.min(F.struct("stretch", (F.col("upto") - F.col("t")).alias("before"), "n")).alias("e")
+    return ends.groupBy(*LEVELS, *extra).agg(first).select(*LEVELS, *extra, F.col("e.stretch").alias("stretch"), F.col("e.before").alias("before"), F.col("e.n").alias("n"))
+
+
+def mix(docs: DataFrame, domain: Column, weights: dict[tuple, int], share: float = 0.5, max_epochs: int = 3, seed: int = 17, short: int = SHORT) -> DataFrame:
     """The selected rows with all columns of ``docs`` and __tk_domain, __tk_tokens, __tk_copies, __tk_grant.
 
     A leaf gives whole epochs first; the rest comes from the next epoch, whose order is the md5 of
-    seed, epoch and doc_id: the longest prefix that fits. The order is not sorted per leaf: tokens
-    are summed in 4,096 stretches of the md5, and only the stretch in which the budget ends is put
-    in order. Null domain, lang or source is the node named by the empty text; a null text or one
-    without words has no tokens and comes with the place it has in the order. Rows that repeat a
-    doc_id are rows of their own (in order of tokens, then md5 of the text). No rows give none.
+    seed, epoch and doc_id: the longest prefix that fits. No leaf is sorted: tokens are summed in
+    4,096 stretches of the md5, the stretch in which the rest ends is divided again, and so on until
+    it holds at most ``short`` rows, of which only keys are put in order. What that gives is one
+    key a leaf, where its prefix ends. Null domain, lang or source is the node named by the empty
+    text; a null text or one without words has no tokens and comes with the place it has in the
+    order. Rows that repeat a doc_id are rows of their own (in order of tokens, then md5 of the
+    text); among rows that repeat all three, any may come first. No rows give none. A column of
+    ``docs`` with a result's name stays, and the result's name gets underscores.
     """
-    from tarkash.llm.common import cut
+    from tarkash.llm.common import cut, free_name, packed_row, unpacked_row, with_side
 
     names = {LEVELS[0]: F.coalesce(domain, F.lit("")), LEVELS[1]: F.coalesce(F.col("lang").cast("string"), F.lit("")), LEVELS[2]: F.coalesce(F.col("source").cast("string"), F.lit(""))}
-    rows = docs.withColumns(names).withColumn("__tk_tokens", n_words(F.coalesce("text", F.lit(""))))
-    leaves = cut(budgets(rows.groupBy(*LEVELS).agg(F.sum("__tk_tokens").alias("tokens")), weights, share, max_epochs))
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(packed_row(docs).alias("row"), *[c.alias(k) for k, c in names.items()], F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), body.alias("body"), n_words(body).alias("tokens"))
+    leaves = cut(budgets(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), weights, share, max_epochs))
     full = F.when(F.col("tokens") > 0, F.floor(F.col("grant") / F.col("tokens"))).otherwise(0).cast("int")
     leaves = leaves.select(*LEVELS, F.col("grant").alias("__tk_grant"), full.alias("__tk_full"), (F.col("grant") - full * F.col("tokens")).alias("__tk_rest"))
-    few = leaves.count() <= 100_000
-
-    def with_leaf(df: DataFrame, side: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(side) if few else side, list(LEVELS))
-
-    def keyed(df: DataFrame) -> DataFrame:
-        key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__tk_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-        return df.withColumn("__tk_key", key).withColumn("__tk_bucket", F.conv(F.substring("__tk_key", 1, 3), 16, 10).cast("int"))
-
-    sums = keyed(with_leaf(rows, leaves)).groupBy(*LEVELS, "__tk_rest", "__tk_bucket").agg(F.sum("__tk_tokens").alias("t"))
-    upto = Window.partitionBy(*LEVELS).orderBy("__tk_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sums.withColumn("upto", F.sum("t").over(upto)).where(F.col("upto") > F.col("__tk_rest"))
-    ends = ends.groupBy(*LEVELS).agg(F.min(F.struct("__tk_bucket", (F.col("upto") - F.col("t")).alias("before"))).alias("e")).select(*LEVELS, F.col("e.__tk_bucket").alias("__tk_end"), F.col("e.before").alias("__tk_before"))
-    plan = cut(leaves.join(ends, list(LEVELS), "left"))
-    dealt = keyed(with_leaf(rows, plan))
-    within = F.coalesce(F.col("__tk_bucket") < F.col("__tk_end"), F.lit(True)).cast("int")
-    clear = dealt.where(F.col("__tk_end").isNull() | (F.col("__tk_bucket") != F.col("__tk_end"))).withColumn("__tk_copies", F.col("__tk_full") + within)
-    order = Window.partitionBy(*LEVELS).orderBy("__tk_key", "__tk_tokens", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    last = dealt.where(F.col("__tk_bucket") == F.col("__tk_end")).withColumn("__tk_upto", F.col("__tk_before") + F.sum("__tk_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    last = last.withColumn("__tk_copies", F.col("__tk_full") + (F.col("__tk_upto") <= F.col("__tk_rest")).cast("int"))
-    columns = [*[F.col(f"`{c}`") for c in docs.columns], *[F.col(c) for c in ("__tk_domain", "__tk_tokens", "__tk_copies", "__tk_grant")]]
-    return clear.select(*columns).union(last.select(*columns)).where("__tk_copies > 0")
+    few = leaves.count() <= FEW_LEAVES
+    levels = list(LEVELS)
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__tk_full").cast("string"), "id").cast("binary"))
+
+    def keyed(side: DataFrame) -> DataFrame:
+        return with_side(rows, side, levels, few, F.col("id")).withColumn("key", key)
+
+    digits = STEP
+    sums = keyed(leaves).groupBy(*levels, "__tk_rest", F.substring("key", 1, STEP).alias("stretch")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    ends = cut(_ends(sums.withColumn("before", F.lit(0).cast("long")), ["__tk_rest"]))
+    narrow = keyed(leaves.drop("__tk_rest").join(ends.withColumnRenamed("stretch", "end"), levels)).where(F.substring("key", 1, STEP) == F.col("end"))
+    narrow = cut(narrow.select(*levels, "__tk_rest", "before", "key", "tokens", F.md5(F.col("body").cast("binary")).alias("digest")))
+    while (ends.agg(F.max("n")).first()[0] or 0) > short and digits < 32:
+        digits += STEP
+        sums = narrow.groupBy(*levels, "__tk_rest", "before", F.substring("key", 1, digits).alias("stretch")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+        ends = cut(_ends(sums, ["__tk_rest"]))
+        narrow = with_side(narrow.drop("before", "__tk_rest"), ends.drop("n"), levels, few, F.col("key"))
+        narrow = cut(narrow.where(F.substring("key", 1, digits) == F.col("stretch")).drop("stretch"))
+    # Equal rows are one row here, with their number: the first that does not wholly fit is where the prefix ends.
+    equal = narrow.groupBy(*levels, "__tk_rest", "before", "key", "tokens", "digest").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*levels).orderBy("key", "tokens", "digest").rowsBetween(Window.unboundedPreceding, 0)
+    equal = equal.withColumn("upto", F.col("before") + F.sum(F.col("tokens") * F.col("n")).over(order)).where(F.col("upto") > F.col("__tk_rest"))
+    room = F.floor((F.col("__tk_rest") - F.col("upto") + F.col("tokens") * F.col("n")) / F.greatest("tokens", F.lit(1)))
+    last = equal.groupBy(*levels).agg(F.min(F.struct("key", "tokens", "digest", room.alias("fit"))).alias("end"))
+    plan = cut(leaves.join(last, levels, "left"))
+    dealt = keyed(plan).withColumn("digest", F.when(F.col("key") == F.col("end.key"), F.md5(F.col("body").cast("binary"))).otherwise(""))
+    here, end = F.struct("key", "tokens", "digest"), F.struct("end.key", "end.tokens", "end.digest")
+    within = F.when(F.col("end").isNull() | (F.col("key") < F.col("end.key")), 1).when(F.col("key") > F.col("end.key"), 0).otherwise((here < end).cast("int"))
+    at_end = F.coalesce(here == end, F.lit(False))
+    if plan.agg(F.max("end.fit")).first()[0]:  # some, not all, of the equal rows at an end are taken
+        some = dealt.where(at_end).withColumn("place", F.row_number().over(Window.partitionBy(*levels).orderBy("key")))
+        out = dealt.where(~at_end).withColumn("copies", F.col("__tk_full") + within)
+        out = out.unionByName(some.withColumn("copies", F.col("__tk_full") + (F.col("place") <= F.col("end.fit")).cast("int")).drop("place"))
+    else:
+        out = dealt.withColumn("copies", F.col("__tk_full") + within)
+    results = {LEVELS[0]: LEVELS[0], "__tk_tokens": "tokens", "__tk_copies": "copies", "__tk_grant": "__tk_grant"}
+    return out.where("copies > 0").select(*unpacked_row(docs, "row"), *[F.col(c).alias(free_name(docs, k)) for k, c in results.items()])
 
 
 def _case(level: int, weights: dict[tuple, int]) -> str:

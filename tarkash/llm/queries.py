@@ -11,7 +11,7 @@ from tarkash.llm import lines, maxscore, mixing, neighbours, pieces, pii, simhas
 from tarkash.llm.common import read, remainder
 
 TOKENIZER = "piece_bpe_32k.model"
-LINE_RATIO, LINE_PAGES = 0.1, 5
+LINE_RATIO, LINE_HELD = 0.1, 3
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 SPAM_WORDS = ("spam", "pills", "casino", "adult", "bets", "ads")
 DOMAIN_SQL = "CASE WHEN try_cast(regexp_extract(source, '(\\d+)', 1) AS BIGINT) % 2 = 0 THEN 'web' ELSE 'core' END"
@@ -63,8 +63,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    out = lines.site_lines(pages.select("page_id", "url", "html"), lines.html_lines(F.col("html")), lines.host_of(F.col("url")), LINE_RATIO, LINE_PAGES)
-    return out.select("page_id", F.col(lines.HOST).alias("host"), F.col("__tk_lines").alias("n_lines"), F.col("__tk_dropped").alias("n_dropped"), F.col(lines.TEXT).alias("text"))
+    out = lines.site_lines(pages.select("page_id", "url", "html"), lines.html_lines(F.col("html")), lines.host_of(F.col("url")), LINE_RATIO, LINE_HELD)
+    return out.select("page_id", F.col(lines.HOST).alias("host"), F.col(lines.LINES).alias("n_lines"), F.col(lines.DROPPED).alias("n_dropped"), F.col(lines.TEXT).alias("text"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,12 +90,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MAXSCORE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS z FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS z FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.z, c.z)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_dot_product(q.z, c.z)::BIGINT AS score
+  FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
 
@@ -107,7 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op7_site_lines": lines.ORACLE.replace("{least}", str(LINE_PAGES)).replace("{ratio}", str(LINE_RATIO)),
+        "op7_site_lines": lines.ORACLE.replace("{held}", str(LINE_HELD)).replace("{ratio}", str(LINE_RATIO)),
         "op8_mixing": mixing.oracle(DOMAIN_SQL, WEIGHTS, SHARE, EPOCHS, SEED),
         "op9_maxscore": MAXSCORE_SQL,
     }
