@@ -16,13 +16,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarkash.llm.common import cut
 from tarkash.llm.components import components
 
 LOW = 0xFFFFFFFF
+FEW = 1_000_000  # ids of 8 bytes that are broadcast
 
 
 def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
@@ -108,13 +109,22 @@ def keep_one(docs: DataFrame, width: int = 3, seed: int = 42, classes: Callable[
     """The documents that are the smallest doc_id of their component, with all columns.
 
     ``classes`` gives doc_id and component_id of a table for a width and a seed; without it they
-    are those of ``simhash_components``. Documents without a doc_id are kept as they are. Of rows that repeat a kept doc_id the first
-    by text, then by the other columns, stays.
+    are those of ``simhash_components``. Documents without a doc_id are kept as they are. Of rows
+    that repeat a kept doc_id the first by text, then by the other columns, stays. An empty table
+    gives none. Only ids and, where doc_ids repeat, those rows are shuffled: the texts stay where
+    they are while the dropped ids are few enough to broadcast (``few``).
     """
     known = docs.where("doc_id is not null")
-    found = (classes or simhash_components)(known, width, seed)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
-    joined = known.join(kept, "doc_id", "left_semi").withColumn("__tk_row", F.row_number().over(first)).where("__tk_row = 1")
+    found = cut((classes or simhash_components)(known, width, seed))
+    rest = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("component_id").alias("c"))
+    gone, again = rest.where("c <> doc_id").select("doc_id"), rest.where("c = doc_id and n > 1").select("doc_id")
+    few = lambda side: F.broadcast(side) if side.count() <= FEW else side
+    gone, again = cut(gone), cut(again)
+    row = F.struct(F.col("text").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    kept = known.join(few(gone), "doc_id", "left_anti")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns).union(docs.where("doc_id is null").select(*columns))
+    out = docs.where("doc_id is null").select(*columns).union(kept.join(few(again), "doc_id", "left_anti").select(*columns))
+    if not again.isEmpty():
+        first = kept.join(few(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("r"))
+        out = out.union(first.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    return out
