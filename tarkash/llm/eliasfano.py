@@ -22,7 +22,7 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-STEP = 64  # every so many zeros and ones the directory names their word
+STEP = 32  # every so many zeros and ones the directory names their word
 LOW = np.uint64(0x0101010101010101)
 HIGH = np.uint64(0x8080808080808080)
 
@@ -55,7 +55,7 @@ def _select(bits: np.ndarray, rank: np.ndarray) -> np.ndarray:
 class EliasFano:
     """A sequence of n unsigned integers that never falls, each under 2**63.
 
-    The directory holds the zeros before each 64-bit word, and the word of every 64th zero and
+    The directory holds the zeros before each 64-bit word, and the word of every 32nd zero and
     one, so a select starts at most a few words before its word.
     """
 
@@ -119,17 +119,35 @@ class EliasFano:
         word, before = self._word(self.one_at, k, True)
         return word * 64 + _select(self.words[word], k - before)
 
+    def _next(self, place: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
+        """The place of one or zero number k, which is the next after ``place``: mostly in the same word."""
+        word, bit = place >> 6, (place & 63).astype(np.uint64)
+        bits = self.words[word] if ones else ~self.words[word]
+        rest = (bits >> bit) >> np.uint64(1)
+        out = place + 1 + np.bitwise_count((rest & -rest) - np.uint64(1)).astype(np.int64)
+        late = np.flatnonzero(rest == 0)
+        if len(late):
+            out[late] = self._one(k[late]) if ones else self._zero(k[late])
+        return out
+
     def access(self, at: np.ndarray) -> np.ndarray:
         """The values at places."""
         at = np.asarray(at, np.int64)
         return ((self._one(at) - at).astype(np.uint64) << np.uint64(self.low)) | self._low(at)
 
+    def access_two(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places and at the places after them."""
+        one = self._one(at)
+        following, low = self._next(one, at + 1, True), np.uint64(self.low)
+        return ((one - at).astype(np.uint64) << low) | self._low(at), ((following - at - 1).astype(np.uint64) << low) | self._low(at + 1)
+
     def _bucket(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places [a, b) of the elements that share each value's high part."""
         top = len(self.words) * 64 - self.n - 1
         high = np.minimum((values >> np.uint64(self.low)).astype(np.int64), top)
-        a = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) - high + 1, 0)
-        return np.minimum(a, self.n), np.minimum(self._zero(high) - high, self.n)
+        before = self._zero(np.maximum(high - 1, 0))
+        end = np.where(high > 0, self._next(before, high, False), before)
+        return np.minimum(np.where(high > 0, before - high + 1, 0), self.n), np.minimum(end - high, self.n)
 
     def successor(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
         """The first place in [first, last) whose value is not smaller; ``last`` (or n) if there is none."""

@@ -21,11 +21,11 @@ for ten million distinct words, 5 % for 1e9), and more than 2**31 distinct words
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +35,36 @@ from tarkash.llm.eliasfano import EliasFano, dump, load
 END = b"\n"  # no word holds a line feed
 ORDER = 3
 DISCOUNTS = (0.75, 0.8)  # of level 2 and of all above
-CHUNK = 400_000
+CHUNK = 3 << 20  # bytes of text worked on at a time
 FLUSH = 2_000_000
 KNOWN = 500_000
 SHARD_BYTES = 32 << 20
 MOST_SHARDS = 512  # 2**31 words by 4 million a shard
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
+class Tokens:
+    """The tokens of a stretch of texts: words with A-Z lower-cased between ASCII white space, and an end after each text.
+
+    ``words`` are the distinct tokens, the end first; ``at`` the place of every token in them, and
+    ``starts`` each text's first token.
+    """
+
+    def __init__(self, texts: pa.Array) -> None:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        flat = lists.flatten().cast(pa.large_binary())
+        ends = np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
+        full = np.asarray(pc.not_equal(pc.binary_length(flat), 0))  # outer white space leaves empty words
+        if not full.all():
+            flat = flat.filter(pa.array(full))
+            ends = np.concatenate(([0], np.cumsum(full)))[ends]
+        coded = flat.dictionary_encode()
+        self.words: list[bytes] = [END, *coded.dictionary.to_pylist()]
+        ends = ends + np.arange(len(ends))
+        self.at = np.zeros(len(flat) + len(ends), np.int64)
+        inside = np.ones(len(self.at), bool)
+        inside[ends] = False
+        self.at[inside] = np.asarray(coded.indices) + 1
+        self.starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
 
 
 def hashed(tokens) -> np.ndarray:
@@ -190,7 +211,7 @@ def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def _look_up(held: tuple, context: np.ndarray, key: np.ndarray, own: np.ndarray, found: np.ndarray, place: np.ndarray) -> None:
     """Searches each key within its context's stretch; fills in probabilities and places."""
     arrays, _, efs = held
-    first, last = (efs["pointers"].access(context + k).astype(np.int64) for k in (0, 1))
+    first, last = (x.astype(np.int64) for x in efs["pointers"].access_two(context))
     at = efs["keys"].find(key, first, last)
     hit = at >= 0
     found[own[hit]] = arrays["book"][arrays["codes"][at[hit]]]
@@ -204,26 +225,21 @@ class Reader:
         self.trie, self.slots = trie, {}
         self.ids, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids, counts and contexts of all tokens, ends included, and each text's first token."""
         if len(self.slots) > KNOWN:
             self.slots, self.ids, self.counts = {}, np.empty(0, np.int64), np.empty(0, np.int64)
-        flat: list[bytes] = []
-        starts = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            starts[i] = len(flat)
-            flat += t
-            flat.append(END)
-        new = list(set(flat).difference(self.slots))
+        tokens = Tokens(texts)
+        new = [w for w in tokens.words if w not in self.slots]
         if new:
             ids, counts = self.trie.ids(hashed(new))
             self.slots.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
             self.ids, self.counts = np.concatenate((self.ids, ids)), np.concatenate((self.counts, counts))
-        at = np.fromiter(map(self.slots.__getitem__, flat), np.int64, len(flat))
-        ids = self.ids[at]
+        slot = np.fromiter(map(self.slots.__getitem__, tokens.words), np.int64, len(tokens.words))
+        ids, counts = self.ids[slot][tokens.at], self.counts[slot][tokens.at]
         contexts = np.concatenate(([0], ids[:-1]))
-        contexts[starts] = self.trie.words  # the begin mark
-        return ids, self.counts[at], contexts, starts
+        contexts[tokens.starts] = self.trie.words  # the begin mark
+        return ids, counts, contexts, tokens.starts
 
 
 _readers: dict[str, Reader] = {}
@@ -236,21 +252,15 @@ def _reader(uri: str, facts: dict) -> Reader:
     return _readers[uri]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]):
-    """(rows, token lists) of about CHUNK tokens; a longer text is a chunk of its own."""
-    rows, texts, n = [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about CHUNK bytes of text (the first column); a longer text is a slice of its own."""
     for batch in batches:
-        others = list(zip(*(batch.column(i).to_pylist() for i in range(1, batch.num_columns)), strict=True)) if batch.num_columns > 1 else [()] * batch.num_rows
-        for value, other in zip(batch.column(0), others, strict=True):
-            t = words(value.as_py())
-            rows.append(other)
-            texts.append(t)
-            n += len(t) + 1
-            if n >= CHUNK:
-                yield rows, texts
-                rows, texts, n = [], [], 0
-    if rows:
-        yield rows, texts
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0)).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + CHUNK, "right")))
+            yield batch.slice(a, b - a)
+            a = b
 
 
 PACKED = "shard int, parts array<binary>"
@@ -261,17 +271,13 @@ def _batch(shards: list, parts: list) -> pa.RecordBatch:
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(shard, its rows' parts) of batches sorted by shard: one shard is held at a time."""
-    shard, held = None, []
+    """(shard, its rows' parts) of a partition, which is dealt one shard."""
+    held: dict[int, list[list[bytes]]] = {}
     for batch in batches:
         for s, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if s != shard and held:
-                yield shard, held
-                held = []
-            shard = s
-            held.append(parts.as_py())
-    if held:
-        yield shard, held
+            held.setdefault(s, []).append(parts.as_py())
+    while held:
+        yield held.popitem()
 
 
 def _split_words(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -329,7 +335,7 @@ def _ramps(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
-def train(texts: DataFrame, order: int = ORDER, shard_tokens: int = 8_000_000) -> tuple[str, dict]:
+def train(texts: DataFrame, order: int = ORDER, shard_tokens: int = 1_500_000) -> tuple[str, dict]:
     """Counts the texts of ``texts(text)`` and writes the trie: (its folder, its facts)."""
     spark = texts.sparkSession
     texts = texts.select(F.col("text").cast("string").alias("text"))
@@ -337,20 +343,21 @@ def train(texts: DataFrame, order: int = ORDER, shard_tokens: int = 8_000_000) -
     uri, shards = shared_dir(spark), max(1, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size = [], 0
 
         def flushed() -> pa.RecordBatch:
-            keys, n = summed(hashed(list(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
-            counts.clear()
+            keys, n = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
             return _split_words(shard_of(keys, shards), keys, n)
 
-        for _, lists in _chunks(batches):
-            for t in lists:
-                counts.update(t)
-            counts[END] += len(lists)
-            if len(counts) > 400_000:
+        for part in _chunks(batches):
+            tokens = Tokens(part.column(0))
+            held.append((hashed(tokens.words), np.bincount(tokens.at, minlength=len(tokens.words))))
+            size += len(tokens.words)
+            if size >= FLUSH:
                 yield flushed()
-        yield flushed()
+                held, size = [], 0
+        if held:
+            yield flushed()
 
     def build_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, rows in _by_shard(batches):
@@ -360,7 +367,7 @@ def train(texts: DataFrame, order: int = ORDER, shard_tokens: int = 8_000_000) -
             put(uri, f"w-{s}", dump(arrays | {"counts": n.astype("<u4" if n.max() < 2**32 else "<u8")}, facts | {"base": base}))
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["shard", "n", "total"])
 
-    counted = texts.mapInArrow(count_words, PACKED).repartition(shards, "shard").sortWithinPartitions("shard")
+    counted = texts.mapInArrow(count_words, PACKED).repartitionById(shards, F.col("shard"))
     sizes = {r.shard: (r.n, r.total) for r in counted.mapInArrow(build_words, "shard int, n long, total long").collect()}  # a row a shard
     offsets = np.concatenate(([0], np.cumsum([sizes.get(s, (0, 0))[0] for s in range(shards)]))).tolist()
     n_tokens = sum(t for _, t in sizes.values())
@@ -382,8 +389,8 @@ def train(texts: DataFrame, order: int = ORDER, shard_tokens: int = 8_000_000) -
             starts = np.concatenate([h[2] + a for h, a in zip(held, shift[:-1], strict=True)])
             return _ngrams(reader.trie, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), starts)
 
-        for _, lists in _chunks(batches):
-            ids, _, contexts, starts = reader.read(lists)
+        for part in _chunks(batches):
+            ids, _, contexts, starts = reader.read(part.column(0))
             held.append((contexts, ids, starts))
             size += len(ids)
             if size >= FLUSH:
@@ -444,7 +451,7 @@ def train(texts: DataFrame, order: int = ORDER, shard_tokens: int = 8_000_000) -
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64())], ["row"])
 
     if n_tokens:
-        counted = texts.mapInArrow(count_ngrams, PACKED).repartition(min(rows * columns, 100_000), "shard").sortWithinPartitions("shard")
+        counted = texts.mapInArrow(count_ngrams, PACKED).repartitionById(rows * columns, F.col("shard"))
         counted.mapInArrow(build_levels, "shard int").count()
         spark.range(0, rows, 1, min(rows, 1000)).mapInArrow(build_weights, "row long").count()
     return uri, facts
@@ -496,16 +503,16 @@ def score(docs: DataFrame, model: tuple[str, dict]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(uri, facts)
-        for rows, lists in _chunks(batches):
-            ids, counts, contexts, starts = reader.read(lists)
+        for part in _chunks(batches):
+            ids, counts, contexts, starts = reader.read(part.column(0))
             single, p = probabilities(reader.trie, ids, counts, contexts, starts)
             total = lambda x: np.add.reduceat(x, starts)
             columns = [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.bool_()),
+                part.column(1),
+                part.column(2),
                 pa.array(np.diff(np.append(starts, len(ids)))),
                 pa.array(total((counts > 0).astype(np.int64))),
-                pa.array(np.full(len(rows), facts["tokens"])),
+                pa.array(np.full(part.num_rows, facts["tokens"], np.int64)),
                 pa.array(total(np.log10(single))),
                 pa.array(total(np.log10(p))),
             ]
