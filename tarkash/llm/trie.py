@@ -35,8 +35,8 @@ from tarkash.llm.eliasfano import EliasFano, dump, load
 END = b"\n"  # no word holds a line feed
 ORDER = 3
 DISCOUNTS = (0.75, 0.8)  # of level 2 and of all above
-CHUNK = 3 << 20  # bytes of text worked on at a time
-FLUSH = 2_000_000
+CHUNK = 5 << 20  # bytes of text worked on at a time
+FLUSH = 1_000_000
 KNOWN = 500_000
 SHARD_BYTES = 32 << 20
 MOST_SHARDS = 512  # 2**31 words by 4 million a shard
