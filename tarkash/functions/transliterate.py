@@ -27,10 +27,13 @@ CONSONANTS = {
 }
 # Consonants that join the one before them, and the trial family.
 CONJUNCTS = (
-    "v|y k|y g|y c|y ch|y j|y t|y d|y n|y p|y b|y m|y r|y l|y s|y sh|y h|y T|y D|y "
-    "p|r t|r k|r g|r d|r b|r s|r sh|r f|r ph|r k|v t|v d|v s|v n|v dh|v t|n s|n s|t s|k s|th t|th"
-).split()
-TRIAL_CONJUNCTS = "m|p t|k r|sh r|th l|p n|d n|dh k|t".split()
+    "v|y", "k|y", "g|y", "c|y", "ch|y", "j|y", "t|y", "d|y", "n|y", "p|y", "b|y", "m|y", "r|y", "l|y", "s|y", "sh|y", "h|y", "T|y", "D|y", "p|r",
+    "t|r", "k|r", "g|r", "d|r", "b|r", "s|r", "sh|r", "f|r", "ph|r", "k|v", "t|v", "d|v", "s|v", "n|v", "dh|v", "t|n", "s|n", "s|t", "s|k", "s|th",
+    "t|th",
+)
+TRIAL_CONJUNCTS = (
+    "m|p", "t|k", "r|sh", "r|th", "l|p", "n|d", "n|dh", "k|t",
+)
 
 DIGITS = {str(d): chr(0x0AE6 + d) for d in range(10)}
 TOKEN = re.compile("|".join(sorted((re.escape(t) for t in [*VOWELS, *CONSONANTS, "+"]), key=len, reverse=True)) + "|.", re.DOTALL)

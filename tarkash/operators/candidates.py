@@ -24,7 +24,7 @@ STRONG = 100
 SIGNS = (("aa", "ા"), ("ii", "ી"), ("ee", "ી"), ("uu", "ૂ"), ("oo", "ૂ"), ("ai", "ૈ"), ("au", "ૌ"), ("i", "િ"), ("u", "ુ"), ("e", "ે"), ("o", "ો"))
 POSTPOSITIONS = (
     ("omaanthi", "ઓમાંથી"), ("omaa", "ઓમાં"), ("one", "ઓને"), ("oni", "ઓની"), ("ona", "ઓના"), ("ono", "ઓનો"), ("onu", "ઓનું"),
-    ("omaanthi", "ઓમાંથી"), ("omathi", "ઓમાંથી"), ("omaan", "ઓમાં"), ("omaa", "ઓમાં"), ("maanthi", "માંથી"), ("manthi", "માંથી"),
+    ("omathi", "ઓમાંથી"), ("omaan", "ઓમાં"), ("maanthi", "માંથી"), ("manthi", "માંથી"),
     ("mathi", "માંથી"), ("maan", "માં"), ("maa", "માં"), ("man", "માં"), ("ma", "માં"), ("onaa", "ોનાં"), ("ona", "ોના"), ("oni", "ોની"),
     ("one", "ોને"), ("valun", "વાળું"), ("vali", "વાળી"), ("vala", "વાળા"), ("valo", "વાળો"), ("walun", "વાળું"), ("wali", "વાળી"),
     ("wala", "વાળા"), ("walo", "વાળો"), ("thi", "થી"), ("nee", "ની"), ("nii", "ની"), ("noo", "નું"), ("nuu", "નું"), ("naa", "નાં"),

@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from tarkash.functions.script import orthography_penalty
 
 # Endings that come off, and those a stem is tried with.
-SUFFIXES = "વાળાઓ વાળીઓ વાળું વાળી વાળા વાળો ીઓ ાઓ ોને ાને ીને ુંને માંથી માં થી ની નો ના ને નું નાં શે શો શું ીશ ીશું ્યો ્યા ્યું તો તા તી તું તાં વું વા વાનું વાની વાના ે ો ા ી ું ાં".split()
-EXTENSIONS = "ે ો ા ી ું વું તું વા શે શો".split()
+SUFFIXES = (
+    "વાળાઓ", "વાળીઓ", "વાળું", "વાળી", "વાળા", "વાળો", "ીઓ", "ાઓ", "ોને", "ાને", "ીને", "ુંને", "માંથી", "માં", "થી", "ની", "નો", "ના", "ને", "નું",
+    "નાં", "શે", "શો", "શું", "ીશ", "ીશું", "્યો", "્યા", "્યું", "તો", "તા", "તી", "તું", "તાં", "વું", "વા", "વાનું", "વાની", "વાના", "ે", "ો", "ા",
+    "ી", "ું", "ાં",
+)
+EXTENSIONS = (
+    "ે", "ો", "ા", "ી", "ું", "વું", "તું", "વા", "શે", "શો",
+)
 
 
 def validity(words: DataFrame, evidence: DataFrame, floor: int = 50) -> DataFrame:
