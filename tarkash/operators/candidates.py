@@ -61,9 +61,12 @@ def exceptions(typed: DataFrame, table: DataFrame) -> DataFrame:
     return _out(rows.select("*", F.col("typed").alias("key"), F.lit("strict").alias("source"), F.lit(0).alias("weight"), F.lit(0).alias("cost"), F.lit(EXACT).alias("tier")))
 
 
-def hits(typed: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Lexicon entries of the typed word and of its other spellings, at the lattice's cost or 2."""
-    q = typed.select("typed", F.explode(queries(F.col("typed"))).alias("q")).select("typed", F.col("q.roman").alias("key"), F.col("q.cost").alias("c"))
+def hits(typed: DataFrame, lexicon: DataFrame, respell: bool = True) -> DataFrame:
+    """Lexicon entries of the typed word and, with ``respell``, of its other spellings, at the lattice's cost or 2."""
+    if respell:
+        q = typed.select("typed", F.explode(queries(F.col("typed"))).alias("q")).select("typed", F.col("q.roman").alias("key"), F.col("q.cost").alias("c"))
+    else:
+        q = typed.select("typed", F.col("typed").alias("key"), F.lit(0.0).alias("c"))
     rows = q.join(lexicon.withColumnRenamed("roman", "key"), "key")
     strict = F.col("key") == F.col("typed")
     source = F.when(strict, "strict").otherwise("fuzzy")
@@ -79,13 +82,15 @@ def _cuts(typed: DataFrame, rules: Sequence[tuple[str, str]], least: int) -> Dat
     return rows.withColumn("stem", F.expr("substring(typed, 1, length(typed) - length(suffix))"))
 
 
-def find_stems(stems: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(stem, roman, native, weight): the stem's entry, else its heaviest other spelling's.
+def find_stems(stems: DataFrame, lexicon: DataFrame, respell: bool = True) -> DataFrame:
+    """(stem, roman, native, weight): the stem's entry, else, with ``respell``, its heaviest other spelling's.
 
-    Ties go to the earlier spelling. Only stems without an entry are respelled.
+    Ties go to the earlier spelling. Only distinct stems without an entry are respelled.
     """
     stems = stems.select("stem").distinct()
     exact = stems.join(lexicon.withColumnRenamed("roman", "stem"), "stem").select("stem", F.col("stem").alias("roman"), "native", "weight")
+    if not respell:
+        return exact
     rest = stems.join(lexicon.select(F.col("roman").alias("stem")), "stem", "left_anti")
     other = rest.select("stem", F.posexplode(alternates(F.col("stem"))).alias("at", "roman")).join(lexicon, "roman")
     best = other.groupBy("stem").agg(F.min(F.struct((-F.col("weight")).alias("o"), "at", "roman", "native", "weight")).alias("b"))
@@ -100,14 +105,14 @@ def sign_stems(typed: DataFrame, lexicon: DataFrame) -> DataFrame:
     return _out(rows)
 
 
-def postposition_stems(typed: DataFrame, lexicon: DataFrame, attested: DataFrame, most: int = 8) -> DataFrame:
+def postposition_stems(typed: DataFrame, lexicon: DataFrame, attested: DataFrame, most: int = 8, respell: bool = True) -> DataFrame:
     """A stem and a postposition, the longest that gives a word; ``attested(native)`` lists sure natives.
 
     A stem that ends in a vowel needs five letters, and a strong weight or attestation.
     """
     cuts = _cuts(typed.where(F.length("typed") >= 4), POSTPOSITIONS, 3)
     cuts = cuts.where((F.col("suffix") != "o") | (F.length("stem") >= 5))
-    rows = cuts.join(find_stems(cuts, lexicon), "stem").join(attested.select("native").distinct().withColumn("sure", F.lit(True)), "native", "left")
+    rows = cuts.join(find_stems(cuts, lexicon, respell), "stem").join(attested.select("native").distinct().withColumn("sure", F.lit(True)), "native", "left")
     vowel = F.col("stem").rlike(r"(?:e|i|o|u|aa|ii|ee|uu|oo|ai|au)\z")
     sure = (F.length("stem") >= 5) & ((F.col("weight") >= STRONG) | F.coalesce("sure", F.lit(False)))
     native = F.col("native")
@@ -120,11 +125,11 @@ def postposition_stems(typed: DataFrame, lexicon: DataFrame, attested: DataFrame
     return _out(rows.select("*", F.lit("stem_postfix").alias("source"), F.lit(0).alias("cost"), F.lit(DICT).alias("tier")))
 
 
-def inflected_stems(typed: DataFrame, lexicon: DataFrame) -> DataFrame:
+def inflected_stems(typed: DataFrame, lexicon: DataFrame, respell: bool = True) -> DataFrame:
     """A stem, or the stem and a, with an inflection."""
     cuts = _cuts(typed, INFLECTIONS, 2)
     cuts = cuts.select("typed", "suffix", "end", "place", F.posexplode(F.array("stem", F.concat("stem", F.lit("a")))).alias("k", "stem"))
-    rows = cuts.join(find_stems(cuts, lexicon), "stem").withColumn("native", F.concat("native", "end"))
+    rows = cuts.join(find_stems(cuts, lexicon, respell), "stem").withColumn("native", F.concat("native", "end"))
     rows = rows.groupBy("typed", "native").agg(F.min(F.struct("place", "k", F.concat("roman", "suffix").alias("key"), F.greatest("weight", F.lit(120)).alias("weight"))).alias("b"))
     return _out(rows.select("typed", "native", "b.key", "b.weight", F.lit("stem_inflection").alias("source"), F.lit(1).alias("cost"), F.lit(DICT).alias("tier")))
 
@@ -167,26 +172,61 @@ def near_exact(typed: DataFrame, lexicon: DataFrame) -> DataFrame:
     return _out(rows.select("typed", "native", "key", source.alias("source"), "weight", (1.5 * F.length("suffix")).alias("cost"), tier(source, F.col("weight"), F.col("typed"), F.lit(False)).alias("tier")))
 
 
-def completions(typed: DataFrame, index: DataFrame, most: int = 3) -> DataFrame:
-    """The heaviest longer entries of ``index(prefix, roman, native, weight)`` at the typed word."""
-    rows = typed.where(F.length("typed") >= 2).join(index.withColumnRenamed("prefix", "typed"), "typed").where("roman <> typed")
+def _unseen(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
+    return rows if seen is None else rows.join(seen.select("typed", "native").distinct(), ["typed", "native"], "left_anti")
+
+
+def completions(typed: DataFrame, index: DataFrame, most: int = 3, seen: DataFrame | None = None, respell: bool = False) -> DataFrame:
+    """The heaviest longer entries of ``index(prefix, roman, native, weight)`` at the typed word.
+
+    With ``respell`` its other spellings are looked up too. Natives in ``seen(typed, native)`` are left out.
+    """
+    seeds = typed.where(F.length("typed") >= 2)
+    if respell:
+        seeds = seeds.select("typed", F.explode(queries(F.col("typed"))["roman"]).alias("prefix")).where(F.length("prefix") >= 2)
+    else:
+        seeds = seeds.select("typed", F.col("typed").alias("prefix"))
+    rows = _unseen(seeds.join(index, "prefix").where("roman <> typed"), seen)
     rows = rows.groupBy("typed", "native").agg(F.min(F.struct((-F.col("weight")).alias("o"), "roman", "weight")).alias("b"))
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("typed").orderBy("b.o", "b.roman", "native"))).where(F.col("r") <= most)
     return _out(rows.select("typed", "native", F.col("b.roman").alias("key"), F.lit("lexicon").alias("source"), "b.weight", F.lit(0).alias("cost"), F.lit(PREFIX).alias("tier")))
 
 
-def phonetic(typed: DataFrame, known: DataFrame, most: int = 4) -> DataFrame:
+def script_forms(typed: DataFrame) -> DataFrame:
+    """(typed, native, at): script forms of the typed word, of a lone letter's twin of another place, and of the other spellings, in that order."""
+    twin = F.when(F.col("typed").rlike(r"\A[ntdl]\z"), F.upper("typed")).when(F.col("typed").rlike(r"\A[NTDL]\z"), F.lower("typed"))
+    others = F.filter(alternates(F.col("typed")), lambda x: F.lower(x) != F.lower(F.col("typed")))
+    keys = F.array_compact(F.concat(F.array("typed", twin), others))
+    forms = typed.select("typed", F.posexplode(keys).alias("a", "form")).select("typed", "a", F.posexplode(phonetic_forms(F.col("form"))).alias("b", "native"))
+    return forms.groupBy("typed", "native").agg(F.min(F.struct("a", "b")).alias("at")).where("native <> typed")
+
+
+def phonetic(typed: DataFrame, known: DataFrame, most: int = 4, seen: DataFrame | None = None, floor: int = 50, forms: DataFrame | None = None) -> DataFrame:
     """Script forms of the typed word and its spellings, attested words first.
 
-    ``known(native, score, unigram, attested, spell_ok)``; a form it lacks counts as invented. The
-    order is unigram at all, spell_ok, attested, unigram, score, then that of the forms.
+    ``known`` is ``validity`` of the forms; a form it lacks counts as invented. The order is unigram
+    at all, spell_ok, attested, unigram, score, then that of the forms. ``seen`` are the candidates
+    found before: their natives are left out. Beside an exact one of them a form must be known, and
+    attested or spelled right if that one is strict, or all are weak; beside a strong strict one two
+    forms are taken at most. After two forms with a unigram over ``floor`` only such forms follow.
     """
-    keys = typed.select("typed", F.posexplode(alternates(F.col("typed"))).alias("a", "form"))
-    forms = keys.select("typed", "a", F.posexplode(phonetic_forms(F.col("form"))).alias("b", "native"))
-    forms = forms.groupBy("typed", "native").agg(F.min(F.struct("a", "b")).alias("at")).where("native <> typed")
-    rows = forms.join(known.select("native", "score", "unigram", "attested", "spell_ok"), "native", "left").na.fill({"score": 0.0, "unigram": 0, "attested": False, "spell_ok": False})
+    rows = _unseen(script_forms(typed) if forms is None else forms, seen)
+    rows = rows.join(known.select("native", "score", "unigram", "attested", "spell_ok", *[c for c in ("present",) if c in known.columns]), "native", "left")
+    rows = rows.na.fill({"score": 0.0, "unigram": 0, "attested": False, "spell_ok": False, "present": False})
+    cap = F.lit(most)
+    if seen is not None:
+        strict, soft = F.col("source") == "strict", F.col("weight") < STRONG
+        exact = seen.where(F.col("tier") == EXACT).groupBy("typed").agg(F.max(strict).alias("strict"), F.min(soft).alias("soft"), F.max(strict & ~soft).alias("strong"))
+        rows = rows.join(exact, "typed", "left")
+        some, sure = F.col("strict").isNotNull(), F.col("attested") | F.col("spell_ok")
+        present = F.col("present") if "present" in rows.columns else sure
+        rows = rows.where(~some | present | ((F.col("strict") | F.col("soft")) & sure))
+        cap = F.when(F.coalesce("strong", F.lit(False)), F.least(cap, F.lit(2))).otherwise(cap)
     order = Window.partitionBy("typed").orderBy(F.desc(F.col("unigram") > 0), F.desc("spell_ok"), F.desc("attested"), F.desc("unigram"), F.desc("score"), "at")
-    rows = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    backed = F.col("unigram") > floor
+    before = F.coalesce(F.sum(backed.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("skip", ~backed & (before >= 2)).where("not skip")
+    rows = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap)
     level = F.when(F.col("attested"), DICT).otherwise(PHONETIC)
     return _out(rows.select("typed", "native", F.col("typed").alias("key"), F.lit("phonetic").alias("source"), F.lit(0).alias("weight"), F.lit(0).alias("cost"), level.alias("tier")))
 
@@ -198,29 +238,45 @@ def modelled(model: DataFrame, known: DataFrame) -> DataFrame:
     return _out(rows.select("typed", "native", F.col("typed").alias("key"), F.lit("neural").alias("source"), F.coalesce("evidence", F.lit(0)).alias("weight"), F.lit(0).alias("cost"), level.alias("tier")))
 
 
-def emoji(typed: DataFrame, menu: DataFrame, by_code: DataFrame, by_native: DataFrame, most: int = 2) -> DataFrame:
-    """The surest emoji of the typed word, ``by_code(code, emoji, weight, confidence)``, and of its natives."""
+def sure_emoji(typed: DataFrame, menu: DataFrame, by_code: DataFrame, by_native: DataFrame, most: int = 2) -> DataFrame:
+    """(typed, emoji, confidence, weight): the surest of the typed word and of its natives."""
     own = typed.join(by_code.withColumnRenamed("code", "typed"), "typed").select("typed", "emoji", "weight", "confidence")
     via = menu.select("typed", "native").distinct().join(by_native, "native").select("typed", "emoji", "weight", "confidence")
     best = own.unionByName(via).groupBy("typed", "emoji").agg(F.max(F.struct("confidence", "weight")).alias("b"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("typed").orderBy(F.desc("b.confidence"), F.desc("b.weight"), "emoji"))).where(F.col("r") <= most)
-    return _out(best.select("typed", F.col("emoji").alias("native"), F.col("typed").alias("key"), F.lit("emoji").alias("source"), "b.weight", F.lit(0).alias("cost"), F.lit(EMOJI).alias("tier")))
+    return best.select("typed", "emoji", "b.confidence", "b.weight")
+
+
+def emoji(typed: DataFrame, menu: DataFrame, by_code: DataFrame, by_native: DataFrame, most: int = 2) -> DataFrame:
+    """The surest emoji of the typed word, ``by_code(code, emoji, weight, confidence)``, and of its natives."""
+    best = sure_emoji(typed, menu, by_code, by_native, most)
+    return _out(best.select("typed", F.col("emoji").alias("native"), F.col("typed").alias("key"), F.lit("emoji").alias("source"), "weight", F.lit(0).alias("cost"), F.lit(EMOJI).alias("tier")))
 
 
 def latin(typed: DataFrame) -> DataFrame:
     return _out(typed.select("typed", F.col("typed").alias("native"), F.col("typed").alias("key"), F.lit("latin").alias("source"), F.lit(0).alias("weight"), F.lit(0).alias("cost"), F.lit(LATIN).alias("tier")))
 
 
+def placed(generated: Sequence[DataFrame], first: int = 0) -> DataFrame:
+    """The rows of generators with ``place``, the generator's number from ``first`` on."""
+    rows = None
+    for place, df in enumerate(generated, first):
+        part = df.select(*COLUMNS, F.lit(place).alias("place"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 def merge(*generated: DataFrame) -> DataFrame:
-    """One row a typed word and native: of the best tier, then of the generator named first.
+    """``merged`` of generators, the one named first before the others."""
+    return merged(placed(generated))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """One row a typed word and native of ``placed`` rows: of the best tier, then of the first generator.
 
     An equal tier changes nothing but ``provenance``, the sources of all rows. A better tier takes
     over source and key, keeps the first cost, and the larger weight and closeness count.
     """
-    rows = None
-    for place, df in enumerate(generated):
-        part = df.select(*COLUMNS, F.lit(place).alias("place"))
-        rows = part if rows is None else rows.unionByName(part)
     rows = rows.withColumn("closeness", closeness(F.col("typed"), F.col("key")))
     order = F.struct("place", F.when(F.col("source") == "strict", 0).otherwise(1), -F.col("weight"), F.length("key"), "cost", "key")
     first = F.min(F.struct(order.alias("o"), "cost")).alias("first")

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarkash.plans import evidence, lexicon, script
+from tarkash.plans import evidence, lexicon, menus, script
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return lexicon.QUERIES | evidence.QUERIES | script.QUERIES
+    return lexicon.QUERIES | evidence.QUERIES | script.QUERIES | menus.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return lexicon.ORACLE | evidence.ORACLE
+    return lexicon.ORACLE | evidence.ORACLE | menus.ORACLE
