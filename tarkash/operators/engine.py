@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tarkash.functions.script import is_latin_literal, is_number
 from tarkash.operators import candidates, menu, scoring
 from tarkash.operators.validity import validity
+from tarkash.sources.stages import Stages
 
 #: The families of candidates, in the order in which equal candidates count.
 FAMILIES = ("exception", "lookup", "sign", "postposition", "inflection", "compound", "near_exact", "latin", "phonetic", "model", "completion", "emoji")
@@ -60,36 +61,18 @@ class Tables:
     largest: int = field(default=1)
 
 
-class Kept:
-    """Frames that several steps read: each is made once and kept, in memory or on the executors' disks.
-
-    A lost part is made again from its plan. ``release`` gives all of them up.
-    """
-
-    def __init__(self) -> None:
-        self.frames: list[DataFrame] = []
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.frames.append(df.persist())
-        return self.frames[-1]
-
-    def release(self) -> None:
-        while self.frames:
-            self.frames.pop().unpersist()
-
-
 def _known(natives: DataFrame, tables: Tables, floor: int) -> DataFrame:
     return validity(natives.select("native"), tables.evidence, floor)
 
 
-def generate(typed: DataFrame, tables: Tables, policy: Policy = Policy(), keep: Kept | None = None) -> DataFrame:
+def generate(typed: DataFrame, tables: Tables, policy: Policy = Policy(), keep: Stages | None = None) -> DataFrame:
     """The merged candidates of ``typed(typed)``, distinct lower-case words.
 
     Later families see what earlier ones found: phonetic forms are gated and capped by it and, like
     completions, leave out its natives; emoji come by the natives found.
     """
-    keep = keep or Kept()
-    lex, evidence, on = keep(tables.lexicon), tables.evidence, set(policy.families)
+    keep = keep or Stages()
+    lex, evidence, on = tables.lexicon, tables.evidence, set(policy.families)
     typed = keep(typed)
     attested = evidence.where("attested").select("native")
     sure = evidence.select("native", F.greatest("unigram", "stem").alias("evidence"), "attested")
@@ -144,13 +127,13 @@ def lay(ranked: DataFrame, tables: Tables, policy: Policy = Policy()) -> DataFra
     return rows.groupBy("typed").agg(items.alias("items")).select("typed", laid.alias("menu"))
 
 
-def menus(typed: DataFrame, tables: Tables, policy: Policy = Policy(), keep: Kept | None = None) -> DataFrame:
+def menus(typed: DataFrame, tables: Tables, policy: Policy = Policy(), keep: Stages | None = None) -> DataFrame:
     """(typed, menu) of every distinct typed word; null and empty words have none.
 
     An address or a number gets itself alone. Words are looked up in lower case. ``keep`` holds the
     frames that several steps read; give one to release them once the menus are written.
     """
-    keep = keep or Kept()
+    keep = keep or Stages()
     words = typed.select(F.lower("typed").alias("typed")).where("typed <> ''").distinct()
     plain = is_latin_literal(F.col("typed")) | is_number(F.col("typed"))
     found = keep(generate(words.where(~plain), tables, policy, keep))
@@ -166,7 +149,7 @@ def of_stream(typed: DataFrame, tables: Tables, write: Callable[[DataFrame, int]
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        keep = Kept()
+        keep = Stages()
         write(menus(rows, tables, policy, keep), number)
         keep.release()
 

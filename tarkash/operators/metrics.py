@@ -31,11 +31,22 @@ def failure(place: Column) -> Column:
     return F.when(place.isNull(), "missing").when(place == 1, "top1").when(place <= 6, "wrong_order").otherwise("below6")
 
 
-def nth_percentile(rows: DataFrame, key: str, value: str, p: float) -> DataFrame:
-    """sorted[min(n - 1, floor(n * p))] of each key: one row is picked, no list is gathered."""
-    order, whole = Window.partitionBy(key).orderBy(value), Window.partitionBy(key)
-    ranked = rows.where(F.col(value).isNotNull()).select(key, value, (F.row_number().over(order) - 1).alias("__i"), F.count("*").over(whole).alias("n"))
-    return ranked.where(F.col("__i") == F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))).select(key, "n", F.col(value).alias("value"))
+def nth_percentile(rows: DataFrame, key: str, value: str, p: float, accuracy: int = 10_000) -> DataFrame:
+    """sorted[min(n - 1, floor(n * p))] of each key, exactly.
+
+    A quantile sketch bounds the value from both sides; the values below the bounds are counted and
+    only those between them, a few in ``accuracy`` of a key, are sorted, with their repeats as one.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(key, value)
+    ends = [max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy)]
+    bounds = rows.groupBy(key).agg(F.count("*").alias("n"), F.percentile_approx(value, ends, accuracy).alias("b"))
+    marked = rows.join(bounds, key)
+    below = marked.where(F.col(value) < F.col("b")[0]).groupBy(key).agg(F.count("*").alias("below"))
+    near = marked.where(F.col(value).between(F.col("b")[0], F.col("b")[1])).groupBy(key, "n", value).agg(F.count("*").alias("m"))
+    near = near.join(below, key, "left").na.fill({"below": 0})
+    upto = F.col("below") + F.sum("m").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    at = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))
+    return near.withColumn("upto", upto).where((F.col("upto") > at) & (F.col("upto") - F.col("m") <= at)).select(key, "n", F.col(value).alias("value"))
 
 
 def examples(rows: DataFrame, label: str, k: int, *order: Column) -> DataFrame:

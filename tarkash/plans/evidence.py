@@ -238,9 +238,9 @@ SELECT label, word, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, wo
     "q21_learning_preferred": """SELECT user_id, event_type AS preferred FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events)
 WHERE k >= 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "q22_lattice_two_pass": _lattice_sql(),
-    "q23_suffix_stem_join": f"""WITH c AS ({UNIGRAMS}), k AS (SELECT word, s AS suffix, substring(word, 1, length(word) - length(s)) AS stem FROM c, (SELECT unnest([{IN_SUFFIXES}]) AS s) WHERE ends_with(word, s))
+    "q23_suffix_stem_join": f"""WITH c AS MATERIALIZED ({UNIGRAMS}), k AS (SELECT word, s AS suffix, substring(word, 1, length(word) - length(s)) AS stem FROM c, (SELECT unnest([{IN_SUFFIXES}]) AS s) WHERE ends_with(word, s))
 SELECT k.word, k.stem, k.suffix, b.n FROM k JOIN c b ON b.word = k.stem WHERE b.n >= 3 AND length(k.stem) >= 2""",
-    "q24_compound_split": f"""WITH c AS ({UNIGRAMS}), k AS (SELECT word, unnest(range(3, length(word) - 2))::INT AS i FROM c WHERE length(word) >= 8)
+    "q24_compound_split": f"""WITH c AS MATERIALIZED ({UNIGRAMS}), k AS (SELECT word, unnest(range(3, length(word) - 2))::INT AS i FROM c WHERE length(word) >= 8)
 SELECT k.word, a.word AS "left", b.word AS "right", least(a.n, b.n) AS n FROM k JOIN c a ON a.word = substring(k.word, 1, i) JOIN c b ON b.word = substring(k.word, i + 1) WHERE a.n >= 20 AND b.n >= 20""",
     "q25_menu_layout": """WITH r AS (SELECT p_brand AS typed, p_name AS native, p_size % 6 AS tier, p_retailprice AS score, p_size % 4 AS closeness, p_size AS weight, p_partkey AS idx, (p_partkey % 10) / 10.0 AS confidence FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 24),
 k AS (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY tier, score DESC, closeness DESC, weight DESC, idx) AS rank FROM r),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tarkash.functions.script import MATRA
 from tarkash.operators import candidates, counts, engine, validity
 from tarkash.operators.scoring import DIGRAPHS, LEXICAL, PLACES
+from tarkash.sources.stages import Stages
 from tarkash.sources.tables import table
 
 LATIN, SCRIPT = "abcdefghijklmnopqrstuvwxyz", "ાબકદેફગહિજકલમનોપકરસતુવવકયઝ"
@@ -38,7 +39,8 @@ def tables(spark: SparkSession, sf_dir: str) -> engine.Tables:
     learnt = lexicon.where(n % 5 == 0).select(F.col("roman").alias("typed"), "native", (n % 4).cast("int").alias("explicit_count"), (n % 10 == 0).alias("preferred"))
     exceptions = spark.createDataFrame(EXCEPTIONS, "roman string, native string")
     by_code = spark.createDataFrame(EMOJI, "code string, emoji string, weight int, confidence double")
-    return engine.Tables(lexicon.drop("n"), evidence, exceptions, index, by_code, None, learnt, None, LARGEST)
+    keep = Stages()
+    return engine.Tables(keep(lexicon.drop("n")), keep(evidence), exceptions, keep(index), by_code, None, learnt, None, LARGEST)
 
 
 def typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def menu_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def menu_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = engine.rank(_generated(spark, sf_dir).persist(), tables(spark, sf_dir), POLICY)
+    ranked = engine.rank(Stages()(_generated(spark, sf_dir)), tables(spark, sf_dir), POLICY)
     return ranked.select("typed", "native", "tier", F.round("score", 6).alias("score"), "rank")
 
 

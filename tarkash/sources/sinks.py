@@ -41,6 +41,48 @@ def unique_words(merged: DataFrame, path: str, tier: Column) -> None:
     merged.select("word", tier.alias("tier"), F.array_join(F.array_sort("sources"), ",").alias("sources")).orderBy("word").write.option("sep", "\t").csv(path)
 
 
+def lexicon_text(table: DataFrame, path: str) -> None:
+    """Tab-separated roman, native, weight and a soft mark, in the order of romans over all files."""
+    soft = ((F.col("weight") > 0) & (F.col("weight") < 100)).cast("int")
+    table.orderBy("roman").select("roman", "native", "weight", soft.alias("soft")).write.option("sep", "\t").csv(path)
+
+
+def prefix_text(index: DataFrame, path: str) -> None:
+    """A line a prefix: its entries (native, weight and roman by unit separators) in rank order, joined by record separators.
+
+    ``index(prefix, rank, roman, native, weight)`` has a bounded number of rows a prefix.
+    """
+    entry = F.concat_ws("\x1f", "native", F.col("weight").cast("string"), "roman")
+    lines = index.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))).alias("l"))
+    joined = F.array_join(F.transform("l", lambda x: x["e"]), "\x1e")
+    lines.orderBy("prefix").select(F.concat_ws("\t", "prefix", joined).alias("value")).write.text(path)
+
+
+def stems_json(counts: DataFrame, path: str, top: int = 80_000, word: str = "word", n: str = "n") -> None:
+    """One JSON object of the ``top`` words and their counts; no more than those meet in a task."""
+    rows = counts.orderBy(F.desc(n), word).limit(top)
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(word).alias("k"), F.col(n).alias("v")))))
+    rows.agg(F.to_json(entries).alias("value")).write.text(path)
+
+
+def learning_store(store: DataFrame, path: str) -> None:
+    """A JSON line a roman: preferred_native and natives with explicit_count, last_used and legacy_count.
+
+    ``store(roman, native, explicit_count, last_used, legacy_count, preferred)`` has at most eight
+    natives a roman. The folder is new and complete only with its success mark; none is changed in place.
+    """
+    meta = F.struct("explicit_count", "last_used", "legacy_count")
+    natives = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("native").alias("k"), meta.alias("v")))))
+    rows = store.where(F.col("native").isNotNull()).groupBy("roman").agg(F.max("preferred").alias("preferred_native"), natives.alias("natives"))
+    rows.select(F.lit(2).alias("version"), "roman", "preferred_native", "natives").write.mode("errorifexists").json(path)
+
+
+def rewritten(table: DataFrame, updates: DataFrame, path: str, key: str = "roman") -> None:
+    """A new snapshot of a keyed table in which rows of ``updates`` replace those with their keys."""
+    kept = table.join(updates.select(key), key, "left_anti").select(*table.columns)
+    lexicon(kept.unionByName(updates.select(*table.columns)), path, key)
+
+
 def splits(rows: DataFrame, path: str, bucket: Column) -> None:
     rows.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
 

@@ -65,12 +65,15 @@ def _confirm(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             pending = None
         elif pending and (e.text.lower() in ("escape", "backspace") or e.composition != pending["composition"] or not e.composition):
             pending = None
-    state.update((json.dumps(pending),))
+    if pending:
+        state.update((json.dumps(pending),))
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(found, columns=["user", "roman", "native", "ts"])
 
 
 def confirm_stream(events: DataFrame) -> DataFrame:
-    """As ``confirmed`` on a stream: one pending selection of bounded size is kept a user.
+    """As ``confirmed`` on a stream: state is one selection of bounded size for each user with one pending, and none else.
 
     Events of a user must arrive in order over batches; within a batch they are sorted.
     """
@@ -99,7 +102,9 @@ def _learn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 def learn_stream(selections: DataFrame) -> DataFrame:
     """(roman, preferred, natives, ts) after each batch: the second selection of a native promotes it.
 
-    At most eight natives are kept a roman, the latest used. The rows are updates by roman.
+    At most eight natives are kept a roman, the latest used. The rows are updates by roman. The state
+    is the store itself: its size is that of the romans ever selected, by hand, and not of the stream;
+    ``learning.compact`` cuts a written store to the romans used last.
     """
     return selections.groupBy("roman").applyInPandasWithState(_learn, LEARNT, "store string", "update", GroupStateTimeout.NoTimeout)
 
