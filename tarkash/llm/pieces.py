@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE = 400_000
+CACHE = 1_500_000
 CACHED_CHARS = 48
 
 
